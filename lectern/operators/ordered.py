@@ -38,6 +38,7 @@ def running(
     df: DataFrame, keys: list[str], order: list[str], shard: Column, specs: list[Running]
 ) -> DataFrame:
     """Add every spec of ``specs``; ``order`` must be unique per key and agree with ``shard``."""
+    kept = df.columns
     df = df.withColumn("_shard", shard)
     for i, s in enumerate(specs):
         df = df.withColumn(f"_v{i}", s.value)
@@ -88,7 +89,6 @@ def running(
     borders = (
         df.groupBy(*keys, "_shard").agg(*summary).select(*keys, "_shard", *carried)
     )
-    kept = [c for c in df.columns if not c.startswith("_")]
     return (
         df.select("*", *local)
         .join(borders, [*keys, "_shard"], "left")
