@@ -114,3 +114,51 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content")
     )
+
+
+def fragments_of(events: DataFrame) -> DataFrame:
+    """Caption fragments from an events table or stream."""
+    return events.select(
+        F.col("user_id").alias("session_id"),
+        F.col("event_id").alias("seq"),
+        F.substring("event_type", 1, 1).alias("text"),
+        (F.col("event_type") == "purchase").alias("is_final"),
+    )
+
+
+def items_of(events: DataFrame) -> DataFrame:
+    """Batch-job items from an events table or stream: an error event is a failed item."""
+    failed = F.col("event_type") == "error"
+    return events.select(
+        F.col("user_id").alias("task_id"),
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("file"), F.col("event_id").cast("string")).alias("file"),
+        F.when(failed, "failed").otherwise("success").alias("status"),
+        F.when(failed, F.concat(F.lit("Error code: "), (F.col("event_id") % 7 + 400).cast("string"))).alias("error"),
+        F.floor("value").cast("bigint").alias("lines"),
+    )
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's file as a stream source."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of each benchmark item as a search term."""
+    words = F.slice(F.split(F.trim("text"), " "), 1, 2)
+    return table(spark, sf_dir, "benchmark").select(
+        F.lower(F.array_join(words, " ")).alias("keyword")
+    ).distinct()
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page addresses as media paths, without query and fragment."""
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_replace("url", "[?#].*$", "").alias("path")
+    )
