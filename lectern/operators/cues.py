@@ -49,9 +49,15 @@ def linger_and_clamp(cues: DataFrame, tail: int = TAIL_MS, width: int = SHARD_MS
         cues, ["rec_id"], ORDER, time_shard("start_ms", width),
         [Running("_next", "lead", F.col("start_ms"))],
     )
+    return out.withColumn("show_end_ms", shown_until(tail)).drop("_next")
+
+
+def shown_until(tail: int = TAIL_MS) -> Column:
+    """End of display from ``start_ms``, ``end_ms`` and the next start ``_next`` (NULL at the end)."""
     stay = F.col("end_ms") + tail
+    # greatest() would ignore a NULL next start, so the last cue is a case of its own.
     latest = F.greatest(F.col("_next") - 1, F.col("start_ms") + MIN_SHOW_MS)
-    return out.withColumn("show_end_ms", F.least(stay, latest)).drop("_next")
+    return F.when(F.col("_next").isNull(), stay).otherwise(F.least(stay, latest))
 
 
 def fill_gaps(cues: DataFrame, max_gap: int = MAX_GAP_MS, width: int = SHARD_MS) -> DataFrame:
@@ -140,17 +146,12 @@ def char_segments(chars: DataFrame, pause_ms: int = PAUSE_MS) -> DataFrame:
     with a closing mark joins the one before it. Input: ``rec_id, pos, ch, start_ms, end_ms``.
     """
     shard = F.floor(F.col("pos") / 4096).cast("bigint")
-    rows = sentence_ids(chars)
+    closing = F.instr(F.lit(SENTENCE_MARKS), F.col("ch")) > 0
     rows = running(
-        rows, ["rec_id"], ["pos"], shard,
-        [
-            Running("_prev_end", "lag", F.col("end_ms")),
-            Running("_prev_sent", "lag", F.col("sent_no")),
-        ],
-    )
-    cut = (F.col("sent_no") != F.col("_prev_sent")) | (
-        F.col("start_ms") - F.col("_prev_end") >= pause_ms
+        chars, ["rec_id"], ["pos"], shard,
+        [Running("_prev_end", "lag", F.col("end_ms")), Running("_closed", "lag", closing)],
     )
+    cut = F.col("_closed") | (F.col("start_ms") - F.col("_prev_end") >= pause_ms)
     rows = rows.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("int"))
     rows = running(rows, ["rec_id"], ["pos"], shard, [Running("_piece", "sum", F.col("_cut"))])
     # Trim: keep from the first to the last visible character of the piece.

@@ -229,8 +229,4 @@ def generate_cues(segments: DataFrame, offset_s: float = 0.0, max_len: int = GRE
             C.Running("_next", "lead", F.col("start_ms")),
         ],
     )
-    latest = F.greatest(F.col("_next") - 1, F.col("start_ms") + C.MIN_SHOW_MS)
-    return ordered.select(
-        "rec_id", "cue_no", "start_ms",
-        F.least(F.col("end_ms") + C.TAIL_MS, latest).alias("end_ms"), "text",
-    )
+    return ordered.select("rec_id", "cue_no", "start_ms", C.shown_until().alias("end_ms"), "text")
