@@ -224,12 +224,15 @@ def vector_topk(spark, d):
 
 @query(f"""WITH {Q.SENTENCES}, p AS (SELECT uid, unnest(range(1, length(text))) AS i, text FROM sent),
 b AS (SELECT uid, (unicode(text[i]) * 31 + unicode(text[i + 1])) % {DIMS} AS slot FROM p),
-n AS (SELECT uid, slot, count(*) AS n FROM b GROUP BY 1, 2)
-SELECT uid, slot::INT AS slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY uid)), 4) AS weight FROM n""")
+n AS (SELECT DISTINCT uid, slot FROM b)
+SELECT uid, count(*) AS slots, sum(slot)::BIGINT AS slot_sum, 1.0::DOUBLE AS norm FROM n GROUP BY uid""")
 def embed_sentences(spark, d):
-    """Non-zero weights of the default sentence vectors."""
+    """Which weights of the default sentence vectors are not zero, and that the length is one."""
     v = B.sentences(spark, d).select("uid", F.posexplode(embed_texts(F.col("text"))).alias("slot", "w"))
-    return v.filter("w > 0").select("uid", "slot", F.round(F.col("w").cast("double"), 4).alias("weight"))
+    return v.filter("w > 0").groupBy("uid").agg(
+        F.count("*").alias("slots"), F.sum("slot").alias("slot_sum"),
+        F.round(F.sqrt(F.sum(F.col("w").cast("double") * F.col("w"))), 3).alias("norm"),
+    )
 
 
 def _hits(spark, d):
