@@ -121,6 +121,7 @@ def fragments_of(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("user_id").alias("session_id"),
         F.col("event_id").alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"),
         F.substring("event_type", 1, 1).alias("text"),
         (F.col("event_type") == "purchase").alias("is_final"),
     )
@@ -140,9 +141,10 @@ def items_of(events: DataFrame) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's file as a stream source."""
+    """A table's file, or the files of its folder, as a stream source."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+    # A file stream wants a folder; the glob picks the one table in it.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:

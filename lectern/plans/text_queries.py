@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -271,25 +272,23 @@ def retrieval_fallback(spark, d):
     return out.select("query_id", "answer", F.array_join("sources", "|").alias("sources"))
 
 
-# Hits that need no vectors, so that prompt assembly has an exact twin: a question's materials
-# are the chunks (here whole labelled documents) whose quality label is good, by document id.
-_PICKED = """c AS (SELECT conv_id AS query_id, text AS question FROM conversations WHERE turn = 0),
-k AS (SELECT query_id, question, row_number() OVER (PARTITION BY query_id ORDER BY d.doc_id) AS rank, d.source, d.text
- FROM c JOIN documents d ON d.doc_id % 100 = c.query_id % 100 JOIN labels l ON l.doc_id = d.doc_id AND l.quality = 1),
+# Lexical hits, so that prompt assembly has an exact twin: the question is a search term and its
+# materials are the first three sentences that hold it.
+_PICKED = f"""{Q.SENTENCES}, {_KEYWORDS},
+k AS (SELECT keyword AS query_id, row_number() OVER (PARTITION BY keyword ORDER BY uid) AS rank, source, text
+ FROM sent JOIN kw ON contains(lower(text), keyword)),
+c AS (SELECT keyword AS query_id, concat('what about ', keyword) AS question FROM kw),
 h AS (SELECT * FROM k WHERE rank <= 3)"""
 
 
 def _picked(spark, d):
-    from pyspark.sql import Window
-
-    questions = B.table(spark, d, "conversations").filter("turn = 0").select(
-        F.col("conv_id").alias("query_id"), F.col("text").alias("question")
+    words = B.keywords(spark, d)
+    questions = words.select(
+        F.col("keyword").alias("query_id"), F.concat(F.lit("what about "), "keyword").alias("question")
     )
-    good = B.table(spark, d, "labels").filter("quality = 1").select("doc_id")
-    docs = B.table(spark, d, "documents").join(good, "doc_id").withColumn("slot", F.col("doc_id") % 100)
-    w = Window.partitionBy("query_id").orderBy("doc_id")
+    w = Window.partitionBy("query_id").orderBy("uid")
     hits = (
-        questions.withColumn("slot", F.col("query_id") % 100).join(docs, "slot")
+        K.match_exact(B.sentences(spark, d), words).withColumnRenamed("keyword", "query_id")
         .withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
         .select("query_id", "rank", "source", "text", F.lit("0.5").alias("score"))
     )

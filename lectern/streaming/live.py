@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions import text as T
@@ -21,9 +22,24 @@ from lectern.session import scratch_path
 
 CHUNK_ROWS = 9600
 IDLE_MS = 30 * 60 * 1000
+LATENESS = "10 minutes"
 SEQ_SHARD = 100_000
 
 
+def _expiring(df: DataFrame, delay: str) -> tuple[DataFrame, str]:
+    """A stream with an event time gets a watermark, and its silent sessions expire; a stream
+    without one keeps its sessions, as nothing tells how old they are."""
+    if "ts" in df.columns:
+        return df.withWatermark("ts", delay), GroupStateTimeout.EventTimeTimeout
+    return df, GroupStateTimeout.NoTimeout
+
+
+def _renew(state: GroupState, rows: pd.DataFrame, idle_ms: int) -> None:
+    if "ts" in rows:
+        latest = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
+
+
 def _in_order(frames: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(order, kind="stable")
 
@@ -43,19 +59,21 @@ def rechunk_stream(fragments: DataFrame, n: int = CHUNK_ROWS, idle_ms: int = IDL
             return
         held, no = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
         out = []
-        for seq, text, final in _in_order(frames, "seq")[["seq", "text", "is_final"]].itertuples(index=False):
+        rows = _in_order(frames, "seq")
+        for seq, text, final in rows[["seq", "text", "is_final"]].itertuples(index=False):
             held.append(text)
             if len(held) == n or final:
                 out.append((key[0], no, len(held), "".join(held), seq))
                 held, no = [], no + 1
         state.update((json.dumps(held), no))
-        state.setTimeoutDuration(idle_ms)
+        _renew(state, rows, idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "chunk_no", "n", "text", "last_seq"])
 
     key_type = dict(fragments.dtypes)["session_id"]
-    return fragments.groupBy("session_id").applyInPandasWithState(
+    timed, timeout = _expiring(fragments, LATENESS)
+    return timed.groupBy("session_id").applyInPandasWithState(
         step, f"session_id {key_type}, chunk_no bigint, n bigint, text string, last_seq bigint",
-        "held string, chunk_no bigint", "append", GroupStateTimeout.ProcessingTimeTimeout,
+        "held string, chunk_no bigint", "append", timeout,
     )
 
 
@@ -107,7 +125,8 @@ def accumulate_captions(fragments: DataFrame, idle_ms: int = IDLE_MS) -> DataFra
             return
         said, no = state.get if state.exists else ("", 0)
         out = []
-        for seq, text, final in _in_order(frames, "seq")[["seq", "text", "is_final"]].itertuples(index=False):
+        rows = _in_order(frames, "seq")
+        for seq, text, final in rows[["seq", "text", "is_final"]].itertuples(index=False):
             if text and text.strip():
                 said += text
                 out.append((key[0], no, seq, "partial", text))
@@ -115,13 +134,14 @@ def accumulate_captions(fragments: DataFrame, idle_ms: int = IDLE_MS) -> DataFra
                 out.append((key[0], no, seq, "final", said))
                 said, no = "", no + 1
         state.update((said, no))
-        state.setTimeoutDuration(idle_ms)
+        _renew(state, rows, idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "utt_no", "seq", "kind", "text"])
 
     key_type = dict(fragments.dtypes)["session_id"]
-    return fragments.groupBy("session_id").applyInPandasWithState(
+    timed, timeout = _expiring(fragments, LATENESS)
+    return timed.groupBy("session_id").applyInPandasWithState(
         step, f"session_id {key_type}, utt_no bigint, seq bigint, kind string, text string",
-        "said string, utt_no bigint", "append", GroupStateTimeout.ProcessingTimeTimeout,
+        "said string, utt_no bigint", "append", timeout,
     )
 
 
@@ -166,13 +186,14 @@ def session_memory(turns: DataFrame, max_turns: int = MAX_TURNS, idle_ms: int =
         history = history[-keep:]
         packed = json.dumps(history, ensure_ascii=False)
         state.update((packed,))
-        state.setTimeoutDuration(idle_ms)
+        _renew(state, rows, idle_ms)
         yield pd.DataFrame([(key[0], len(history), packed)], columns=["session_id", "messages", "history"])
 
     key_type = dict(turns.dtypes)["session_id"]
-    return turns.groupBy("session_id").applyInPandasWithState(
+    timed, timeout = _expiring(turns, LATENESS)
+    return timed.groupBy("session_id").applyInPandasWithState(
         step, f"session_id {key_type}, messages bigint, history string", "history string",
-        "update", GroupStateTimeout.ProcessingTimeTimeout,
+        "update", timeout,
     )
 
 
@@ -193,7 +214,7 @@ def amend_lines(versions: DataFrame) -> DataFrame:
     )
 
 
-def within_watermark(fragments: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def within_watermark(fragments: DataFrame, delay: str = LATENESS) -> DataFrame:
     """Drop repeated deliveries of a fragment, with state bounded by the watermark."""
     return fragments.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "seq"])
 
@@ -225,4 +246,4 @@ def run_available(stream: DataFrame, spark: SparkSession, label: str, mode: str
         .trigger(availableNow=True).foreachBatch(save).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "bigint")).parquet(out)
+    return spark.read.schema(StructType(stream.schema.fields).add("batch", "long")).parquet(out)
