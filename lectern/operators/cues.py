@@ -169,7 +169,7 @@ def char_segments(chars: DataFrame, pause_ms: int = PAUSE_MS) -> DataFrame:
     kept = rows.join(edges.select("rec_id", "_piece", "_first", "_last", "seg_no"), ["rec_id", "_piece"])
     kept = kept.filter(F.col("pos").between(F.col("_first"), F.col("_last")))
     # One segment is a stretch of speech, so its characters fit in a row.
-    packed = kept.groupBy("rec_id", F.greatest(F.col("seg_no"), F.lit(1)).alias("seg_no")).agg(
+    packed = kept.groupBy("rec_id", "seg_no").agg(
         F.array_sort(F.collect_list(F.struct("pos", "ch", "start_ms", "end_ms"))).alias("_c")
     )
     times = F.transform("_c", lambda c: F.struct(c["start_ms"].alias("s"), c["end_ms"].alias("e")))
@@ -184,7 +184,10 @@ def char_segments(chars: DataFrame, pause_ms: int = PAUSE_MS) -> DataFrame:
 
 
 def reattach_leading_marks(segments: DataFrame, marks: str = LEADING_MARKS) -> DataFrame:
-    """A segment that begins with a closing mark is appended to the one before it."""
+    """A segment that begins with a closing mark is appended to the one before it.
+
+    Marks at the very start of a recording have nothing before them and form run 0.
+    """
     glued = F.instr(F.lit(marks), F.substring("text", 1, 1)) > 0
     shard = time_shard("start_ms")
     ids = running(
@@ -192,7 +195,7 @@ def reattach_leading_marks(segments: DataFrame, marks: str = LEADING_MARKS) -> D
         [Running("_run", "sum", (~glued).cast("int"))],
     )
     return (
-        ids.groupBy("rec_id", F.greatest(F.col("_run"), F.lit(1)).alias("run_no"))
+        ids.groupBy("rec_id", F.col("_run").alias("run_no"))
         .agg(
             F.array_sort(F.collect_list(F.struct("start_ms", "seg_no", "text", "end_ms"))).alias("_s")
         )

@@ -76,9 +76,9 @@ def fill_times(spark, d):
 
 
 @query(f"""WITH {Q.CUES}, g AS (SELECT *, sum(CASE WHEN text <> 'error' THEN 1 ELSE 0 END) {_W} AS run FROM cues)
-SELECT rec_id, greatest(run, 1)::BIGINT AS run_no, arg_min(start_ms, (start_ms, cue_no)) AS start_ms,
+SELECT rec_id, run::BIGINT AS run_no, arg_min(start_ms, (start_ms, cue_no)) AS start_ms,
  arg_max(end_ms, (start_ms, cue_no)) AS end_ms, string_agg(text, '' ORDER BY start_ms, cue_no) AS text
-FROM g GROUP BY rec_id, greatest(run, 1)""")
+FROM g GROUP BY rec_id, run""")
 def reattach_leading(spark, d):
     segs = B.cues(spark, d).withColumnRenamed("cue_no", "seg_no")
     # On this table the text "error" plays the closing mark.
@@ -195,7 +195,7 @@ x AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^!?;]*[!?;]|[^!?;]+') A
 y AS (SELECT doc_id, line_no, k, trim(q[k + 1]) AS t FROM (SELECT *, unnest(range(0, len(q))) AS k FROM x)),
 z AS (SELECT *, sum(CASE WHEN substring(t, 1, 1) IN (',', ':', ';', ')') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no, k) AS g
  FROM y WHERE t <> '')
-SELECT doc_id AS rec_id, greatest(g, 1)::BIGINT AS seg_no, string_agg(t, '' ORDER BY line_no, k) AS text FROM z GROUP BY 1, 2""")
+SELECT doc_id AS rec_id, g::BIGINT AS seg_no, string_agg(t, '' ORDER BY line_no, k) AS text FROM z GROUP BY 1, 2""")
 def char_segments(spark, d):
     """Documents as timed characters with a long silence after every line, cut into segments."""
     rows = B.documents(spark, d).select(
