@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.distance import edit_distance
 
 CLEAN = "clean"
 
@@ -22,12 +23,6 @@ def last_per_uid(rows: DataFrame, uid: str, position: Column) -> DataFrame:
     ).select(uid, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def edits(ref: Column | str, hyp: Column | str) -> Column:
-    """Edit distance in code points; equal texts skip the quadratic table."""
-    r, h = T.col(ref), T.col(hyp)
-    return F.when(r == h, F.lit(0)).otherwise(F.levenshtein(r, h))
-
-
 def score_pairs(refs: DataFrame, hyps: DataFrame) -> DataFrame:
     """Join ``refs(uid, ref, ...)`` with ``hyps(uid, hyp, ...)`` and measure every pair once.
 
@@ -42,7 +37,7 @@ def score_pairs(refs: DataFrame, hyps: DataFrame) -> DataFrame:
 
 def _measured(pairs: DataFrame) -> DataFrame:
     return (
-        pairs.withColumn("errors", edits("r", "h").cast("bigint"))
+        pairs.withColumn("errors", edit_distance("r", "h"))
         .withColumn("ref_len", F.length("r").cast("bigint"))
         .withColumn("exact", F.col("r") == F.col("h"))
         .drop("r", "h")
@@ -78,7 +73,7 @@ def paired_systems(refs: DataFrame, a: DataFrame, b: DataFrame, mode: str = "inn
     )
     for s in "ab":
         out = out.withColumn(f"h_{s}", F.coalesce(f"h_{s}", F.lit("")))
-        out = out.withColumn(f"errors_{s}", edits("r", f"h_{s}").cast("bigint"))
+        out = out.withColumn(f"errors_{s}", edit_distance("r", f"h_{s}"))
     return out.withColumn("ref_len", F.length("r").cast("bigint"))
 
 
@@ -106,7 +101,10 @@ def cer(scored: DataFrame, totals: DataFrame, by: list[str], weighting: str = "i
         F.count_if("exact").alias("_exact"),
         F.count_if(F.col("exact") & empty).alias("_exact_empty"),
     )
-    total = {c: totals.select(c).scalar() for c in totals.columns}
+    # One scalar subquery for all totals, evaluated once.
+    packed = totals.select(F.struct(*totals.columns)).scalar()
+    sums = sums.withColumn("_t", packed)
+    total = {c: F.col("_t")[c] for c in totals.columns}
     # What the references without a hypothesis would add: all their characters as deletions.
     lost = total["len_ref"] - F.col("_len")
     missing = total["n_ref"] - F.col("found")
@@ -222,14 +220,11 @@ def bucket_cer(pairs: DataFrame, bucket: Column) -> DataFrame:
 def robustness_matrix(scored: DataFrame, totals: DataFrame) -> DataFrame:
     """Error rate per system and condition, and its ratio to the clean condition."""
     rates = cer(scored, totals, ["system", "condition"], "per_row")
-    clean = rates.filter(F.col("condition") == CLEAN).select(
-        "system", F.col("cer").alias("_clean")
-    )
-    return (
-        rates.join(clean, "system", "left")
-        .withColumn("degradation", F.when(F.col("_clean") > 0, F.col("cer") / F.when(F.col("_clean") > 0, F.col("_clean"))))
-        .drop("_clean")
-    )
+    # A handful of rows per system: the clean rate comes from a window, not from a second pass.
+    clean = F.max(F.when(F.col("condition") == CLEAN, F.col("cer"))).over(Window.partitionBy("system"))
+    return rates.withColumn("_clean", clean).withColumn(
+        "degradation", F.when(F.col("_clean") > 0, F.try_divide("cer", "_clean"))
+    ).drop("_clean")
 
 
 def punct_rate(texts: DataFrame, by: list[str], text: str = "text", pattern: str = T.CJK_PUNCTUATION) -> DataFrame:

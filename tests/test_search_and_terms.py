@@ -175,9 +175,16 @@ def test_embedding_has_unit_length():
     assert not hash_vector("x").any()
 
 
-def test_edit_distance_is_by_code_point(spark):
-    from lectern.operators.scoring import edits
-
-    pairs = [("café", "cafe"), ("你好", "你们好"), ("", "a"), ("a😀", "a")]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    assert [r[0] for r in df.select(edits("a", "b")).collect()] == [specs.edit_distance(a, b) for a, b in pairs]
+def test_edit_distance(spark):
+    from lectern.functions.distance import edit_distance
+
+    rnd = random.Random(2)
+    pairs = [("café", "cafe"), ("你好", "你们好"), ("", "a"), ("a😀", "a"), ("", "")]
+    for n in (1, 63, 64, 65, 128, 150):
+        a = "".join(rnd.choice("abé你😀") for _ in range(n))
+        pairs += [(a, a), (a, a[::2]), (a, "".join(rnd.choice("ab你z") for _ in range(rnd.randint(0, 140))))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)] + [(99, None, "a")], "i int, a string, b string")
+    got = [r[0] for r in df.orderBy("i").select(edit_distance("a", "b")).collect()]
+    assert got == [specs.edit_distance(a, b) for a, b in pairs] + [None]
+    jvm = df.filter("i < 99").orderBy("i").select(F.levenshtein("a", "b")).collect()
+    assert got[:-1] == [r[0] for r in jvm]
