@@ -81,9 +81,13 @@ def _rate(errors: Column, length: Column) -> Column:
     return errors / F.greatest(F.lit(1), length)
 
 
-def cer(scored: DataFrame, totals: DataFrame, by: list[str], weighting: str = "inner") -> DataFrame:
+def cer(
+    scored: DataFrame, totals: DataFrame, by: list[str], weighting: str | list[str] = "inner"
+) -> DataFrame:
     """Character error rate, sentence accuracy and counts per group.
 
+    A list of weightings gives one row per group and weighting, from one pass over the pairs.
+
     weighting:
       ``inner``     only uids with a hypothesis; denominator max(1, total length); an empty
                     reference weighs nothing
@@ -108,7 +112,7 @@ def cer(scored: DataFrame, totals: DataFrame, by: list[str], weighting: str = "i
     # What the references without a hypothesis would add: all their characters as deletions.
     lost = total["len_ref"] - F.col("_len")
     missing = total["n_ref"] - F.col("found")
-    n, errors, length, exact = {
+    forms = {
         "inner": (F.col("found"), F.col("_err") - F.col("_err_empty"), F.col("_len"), F.col("_exact")),
         "drop_empty": (
             F.col("found") - F.col("_empty"),
@@ -128,19 +132,25 @@ def cer(scored: DataFrame, totals: DataFrame, by: list[str], weighting: str = "i
             total["len_ref_floor"],
             F.col("_exact") + total["empty_ref"] - F.col("_empty"),
         ),
-    }[weighting]
-    return (
-        sums.select(
-            *by,
-            total["n_ref"].alias("n_ref"),
-            missing.alias("missing"),
-            n.alias("n"),
-            errors.alias("errors"),
-            length.alias("ref_len"),
-            exact.alias("n_exact"),
+    }
+
+    def form(name: str) -> Column:
+        n, errors, length, exact = forms[name]
+        return F.struct(
+            F.lit(name).alias("weighting"), n.alias("n"), errors.alias("errors"),
+            length.alias("ref_len"), exact.alias("n_exact"),
         )
-        .withColumn("cer", _rate(F.col("errors"), F.col("ref_len")))
-        .withColumn("sent_acc", F.col("n_exact") / F.greatest(F.lit(1), F.col("n")))
+
+    several = isinstance(weighting, list)
+    names = weighting if several else [weighting]
+    rows = sums.select(
+        *by, total["n_ref"].alias("n_ref"), missing.alias("missing"),
+        F.inline(F.array(*[form(w) for w in names])),
+    )
+    if not several:
+        rows = rows.drop("weighting")
+    return rows.withColumn("cer", _rate(F.col("errors"), F.col("ref_len"))).withColumn(
+        "sent_acc", F.col("n_exact") / F.greatest(F.lit(1), F.col("n"))
     )
 
 

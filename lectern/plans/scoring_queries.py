@@ -69,11 +69,7 @@ def cer_overall(spark, d):
 )
 def cer_modes(spark, d):
     scored, totals = _clean(spark, d)
-    out = None
-    for mode in _MODES:
-        part = S.cer(scored, totals, ["system"], mode).withColumn("weighting", F.lit(mode))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return S.cer(scored, totals, ["system"], list(_MODES))
 
 
 @query(f"""WITH {Q.SCORED} SELECT system, condition, count(*) AS n, count(*) FILTER (exact) AS n_exact,
