@@ -64,13 +64,13 @@ def shingle_sets(texts: list[bytes], n: int, powers: X.Powers) -> list[np.ndarra
 
 
 def signatures(docs: DataFrame, n: int = SHINGLE_WORDS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit print of the set (two longs) and one long per band."""
+    """doc_id, text_key, n_shingles, a 128-bit print of the set (two longs) and one long per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, ring = X.Powers(), Circulant(rows * bands)
         salt = X.mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            texts = X.texts_of(batch.column(1))
+            texts = X.texts_of(batch.column(2))
             size, prints, keys = np.zeros(len(texts), np.int64), np.zeros((2, len(texts)), np.uint64), []
             for lo, hi in X.chunks(texts):
                 for i, s in enumerate(shingle_sets(texts[lo:hi], n, powers), lo):
@@ -87,14 +87,14 @@ def signatures(docs: DataFrame, n: int = SHINGLE_WORDS, rows: int = ROWS, bands:
             values = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(size), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)),
+                    batch.column(0), batch.column(1), pa.array(size), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)),
                 ],
-                ["doc_id", "n_shingles", "print_a", "print_b", "bands"],
+                ["doc_id", "text_key", "n_shingles", "print_a", "print_b", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>"
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        run, "doc_id bigint, text_key bigint, n_shingles bigint, print_a bigint, print_b bigint, bands array<bigint>"
     )
 
 
@@ -124,7 +124,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int = SHINGLE_WORDS, percent:
 
 
 def group_documents(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text).
+    """doc_id, text_key, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text).
 
     Null and empty texts have no shingles and no links. A row without doc_id is linked with nothing, has no component
     and is kept. Rows that repeat a doc_id and its text are one document; when the texts differ, each row has the
@@ -158,5 +158,23 @@ def group_documents(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERC
     )
     joined = signed.join(final, ["print_a", "print_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    out = joined.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = joined.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows and columns of ``docs`` less near-duplicates: of each group the document with the smallest doc_id stays.
+
+    Rows without doc_id stay. Of rows equal in doc_id and text one stays.
+    """
+    keys = ["doc_id", "text_key"]
+    verdict = materialise(group_documents(docs, n, percent), "verdict").groupBy(*keys).agg(
+        F.min("kept").alias("kept"), F.count("*").alias("n")
+    )
+    odd = verdict.filter("doc_id is not null and (not kept or n > 1)").withColumnsRenamed({k: f"odd_{k}" for k in keys})
+    on = (F.col("row.doc_id") == F.col("odd_doc_id")) & (F.xxhash64("row.text") == F.col("odd_text_key"))
+    marked = docs.select(F.struct(*docs.columns).alias("row")).join(odd, on, "left")
+    back = [F.col(f"row.{c}").alias(c) for c in docs.columns]
+    once = marked.filter("odd_doc_id is null").select(*back)
+    again = marked.filter("kept and n > 1").dropDuplicates(["odd_doc_id", "odd_text_key"]).select(*back)
+    return once.union(again)

@@ -17,10 +17,11 @@ from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textops as X
+from lectern.llm.sampling import labelled_sample
 
 #: Most labelled documents of either overall class in the sample that the chain is fitted on.
 MAX_PER_CLASS = 4000
@@ -28,8 +29,8 @@ FOLDS = 5
 #: Byte lengths of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6, 7)
 #: A feature must be this much more frequent in the category than outside, with this chi-square at least.
-MIN_LIFT, MIN_CHI2, MAX_FEATURES = 5.0, 20.0, 512
-RIDGE = 1e-3
+MIN_LIFT, MIN_CHI2, MAX_FEATURES = 5.0, 20.0, 256
+RIDGE = 1e-4
 THRESHOLD = 0.5
 LANGUAGES = ("en", "de", "fr", "es")
 
@@ -174,24 +175,9 @@ class Scorer:
         return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, overall: Column, max_per_class: int = MAX_PER_CLASS) -> DataFrame:
-    """Labelled documents (doc_id, text and the label columns), at most ``max_per_class`` of either class of ``overall``.
-
-    Labels are chosen first, by a hash, so only the texts of chosen documents move. A doc_id with several labels or
-    texts counts once, with the largest labels and the smallest text.
-    """
-    marks = [c for c in labels.columns if c != "doc_id"]
-    one = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in marks])
-    by_hash = F.xxhash64("doc_id", F.lit("sample"))
-    chosen = [one.filter(F.coalesce(overall, F.lit(False)) == side).orderBy(by_hash, "doc_id").limit(max_per_class) for side in (True, False)]
-    # At most two classes of max_per_class ids: a proven bound for the broadcast.
-    ids = F.broadcast(chosen[0].union(chosen[1]))
-    return docs.join(ids, "doc_id").groupBy("doc_id", *marks).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-
-
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_per_class: int = MAX_PER_CLASS) -> list[Link]:
     """Fit a chain over the 0/1 columns ``categories`` of ``labels`` (doc_id, ...); the last is the overall verdict."""
-    rows = sample(docs.select("doc_id", "text"), labels.select("doc_id", *categories), F.col(categories[-1]) == 1, max_per_class)
+    rows = labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", *categories), F.col(categories[-1]) == 1, max_per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = pa.Table.from_batches(list(batches), schema).sort_by("doc_id")
