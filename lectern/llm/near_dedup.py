@@ -5,9 +5,9 @@ that a second permutation, shifted circularly by k, gives to the document's plac
 coordinates, and the values a shingle contributes to them are one contiguous stretch of the second permutation.
 
 Documents with equal shingle sets form a class and only its smallest doc_id goes on. Bands of coordinates put classes
-into buckets. A bucket is not expanded into pairs: its members are first compared with its smallest member, links are
-joined into components, and only members that are then still apart are compared with each other. A group of
-thousands of near copies so costs one comparison each. Every link is confirmed on the full shingle sets.
+into buckets. A bucket is not expanded into pairs: its members are compared with one of them, links are joined into
+components, and so on with other centres; only members that are then still apart are compared with each other. A group
+of thousands of near copies so costs a few comparisons each. Every link is confirmed on the full shingle sets.
 
 With six rows in each of fifty bands a pair at similarity 0.8 is missed with probability 3e-7.
 """
@@ -123,6 +123,39 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int = SHINGLE_WORDS, percent:
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
+def link_blocks(blocks: DataFrame, texts: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between the two sides of each (family, i, j); one for each member and component is enough."""
+
+    def run(table: pa.Table) -> pa.Table:
+        powers = X.Powers()
+        ids, side = table["x"].to_numpy(), table["side"].to_numpy()
+        _, c = np.unique(table["c"].to_numpy(), return_inverse=True)
+        sets = shingle_sets(X.texts_of(table["text"].combine_chunks()), n, powers)
+        size = np.array([len(s) for s in sets])
+        usual = np.bincount(c).argmax()
+        found: set[tuple[int, int]] = set()
+        for probes, targets in ((0, 1), (1, 0)):
+            others = np.flatnonzero(side == targets)
+            values = np.concatenate([sets[k] for k in others] or [np.zeros(0, np.uint64)])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], np.repeat(np.arange(len(others)), size[others])[order]
+            # Pairs of different components have a member outside the largest component: those are the probes.
+            for k in np.flatnonzero((side == probes) & (c != usual)):
+                lo, hi = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+                count = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                common = np.bincount(owner[at], minlength=len(others))
+                linked = 100 * common >= percent * (size[k] + size[others] - common)
+                near = others[linked & (c[others] != c[k])]
+                for t in near[np.unique(c[near], return_index=True)[1]]:
+                    found.add((int(min(ids[k], ids[t])), int(max(ids[k], ids[t]))))
+        pairs = sorted(found)
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    full = blocks.join(texts.withColumnRenamed("doc_id", "x"), "x")
+    return full.groupBy("family", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def group_documents(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text).
 
@@ -136,23 +169,28 @@ def group_documents(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERC
         named.groupBy("print_a", "print_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes"
     )
     # The join has dealt the rows by class, so dropping repeated rows of a representative shuffles nothing.
-    rows = (
+    single = (
         named.join(classes, ["print_a", "print_b", "n_shingles"])
         .filter("doc_id = rep")
         .dropDuplicates(["print_a", "print_b", "n_shingles"])
-        .select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     )
+    # One doc_id with several texts stands for several classes: it has all their bands and the range of their sizes.
+    members = single.groupBy(F.col("doc_id").alias("x")).agg(
+        F.array_distinct(F.flatten(F.collect_list("bands"))).alias("keys"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")
+    )
+    members = materialise(members, "bands")
 
     def possible(p: str, q: str) -> Column:
-        a, b = F.col(f"{p}n"), F.col(f"{q}n")
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+        return (100 * F.col(f"{p}high") >= percent * F.col(f"{q}low")) & (100 * F.col(f"{q}high") >= percent * F.col(f"{p}low"))
+
+    texts: list[DataFrame] = []
 
     def confirmer(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
         wanted = docs.select("doc_id", "text").join(ids.withColumnRenamed("x", "doc_id"), "doc_id", "left_semi")
-        texts = materialise(wanted.distinct(), "texts")
-        return lambda pairs: verify(pairs, texts, n, percent)
+        texts.append(materialise(wanted.distinct(), "texts"))
+        return lambda pairs: verify(pairs, texts[0], n, percent)
 
-    labels = link_buckets(rows, possible, confirmer)
+    labels = link_buckets(members, possible, confirmer, lambda blocks: link_blocks(blocks, texts[0], n, percent))
     final = classes.join(labels, F.col("rep") == F.col("id"), "left").select(
         "print_a", "print_b", "n_shingles", F.coalesce("component", "rep").alias("component")
     )
