@@ -1,7 +1,8 @@
 """Fuzzy line deduplication over the whole corpus.
 
 A line is normalised to its lower-cased words. Equal normal forms are one line. Every line has a 64-bit SimHash of its
-words; lines may be alike when their SimHashes differ in at most three bits. With the bits cut into five blocks two
+words of four bytes or more (of all, where it has none): the short, frequent words say little and would make the
+SimHashes of unrelated lines agree. Lines may be alike when their SimHashes differ in at most three bits. With the bits cut into five blocks two
 such lines agree on two whole blocks, so the ten pairs of blocks are the keys of the join. A pair is linked when its
 normal forms are similar in edit distance; of each connected group of lines one occurrence stays, the first by
 document and line number.
@@ -40,13 +41,7 @@ def lines_of(texts: list[bytes], powers: X.Powers) -> list[tuple[np.ndarray, ...
     powers.reach(len(word) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * powers.up[: len(word)])])
     hashes = X.mix((sums[at + n] - sums[at]) * powers.down[at] + n.astype(np.uint64))
-    ones = np.empty((len(at), 64), np.int32)
-    step = 2048
-    for lo in range(0, len(at), step):
-        stop = at[lo + step] if lo + step < len(at) else len(word)
-        bits = np.unpackbits(word[at[lo] : stop].view(np.uint8).reshape(-1, 8), axis=1)
-        ones[lo : lo + step] = np.add.reduceat(bits, at[lo : lo + step] - at[lo], axis=0, dtype=np.int32)
-    sim = np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64).ravel()
+    sim = simhash(word, np.repeat(np.arange(len(at)), n), w.end - w.start > 3, len(at))
     ends = np.concatenate([[0], np.cumsum(w.end - w.start)])
     length = ends[at + n] - ends[at] + n - 1
     first = np.searchsorted(breaks, w.first[:-1])
@@ -59,6 +54,20 @@ def lines_of(texts: list[bytes], powers: X.Powers) -> list[tuple[np.ndarray, ...
     ]
 
 
+def simhash(word: np.ndarray, line: np.ndarray, long: np.ndarray, n_lines: int) -> np.ndarray:
+    """64 bits per line: each is the majority of that bit over the hashes of the line's long words."""
+    used = long | (np.bincount(line[long], minlength=n_lines) == 0)[line]
+    word, line = word[used], line[used]
+    at = np.searchsorted(line, np.arange(n_lines))
+    n = np.diff(np.append(at, len(line)))
+    ones, step = np.empty((n_lines, 64), np.int32), 2048
+    for lo in range(0, n_lines, step):
+        stop = at[lo + step] if lo + step < n_lines else len(word)
+        bits = np.unpackbits(word[at[lo] : stop].view(np.uint8).reshape(-1, 8), axis=1)
+        ones[lo : lo + step] = np.add.reduceat(bits, at[lo : lo + step] - at[lo], axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64).ravel()
+
+
 def normal_lines(text: bytes) -> list[tuple[int, bytes]]:
     """(number, normal form) of the lines with words."""
     forms = ((i, b" ".join(x.translate(X.ALNUM_LOWER).split())) for i, x in enumerate(text.split(b"\n")))
@@ -105,7 +114,7 @@ def block_keys(sim: Column) -> Column:
     """One key for each pair of blocks of a SimHash."""
     block = [F.shiftrightunsigned(sim, start).bitwiseAND(F.lit((1 << size) - 1)) for start, size in BLOCKS]
     pairs = list(combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))
-    return F.array(*[F.shiftleft(F.shiftleft(F.lit(k).cast("bigint"), 13).bitwiseOR(block[a]), 13).bitwiseOR(block[b]) for k, (a, b) in enumerate(pairs)])
+    return F.array(*[F.shiftleft(F.shiftleft(F.lit(k).cast("bigint"), 13).bitwiseOR(block[a]), 13).bitwiseOR(block[b]).cast("int") for k, (a, b) in enumerate(pairs)])
 
 
 def edit_similar(a: Column, b: Column, percent: int = PERCENT) -> Column:
@@ -136,8 +145,8 @@ def link_lines(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -> Dat
 
         return confirm
 
-    rows = lines.select(F.explode(block_keys(F.col("sim"))).alias("key"), F.col("line").alias("x"), "sim", "size")
-    return link_buckets(rows, possible, confirmer)
+    members = lines.select(F.col("line").alias("x"), block_keys(F.col("sim")).alias("keys"), "sim", "size")
+    return link_buckets(members, possible, confirmer)
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
