@@ -151,7 +151,8 @@ def join(spans: list[list[int]], start: int, stop: int) -> None:
 
 
 FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))])
-FOUND_TYPE = T.StructType.fromDDL("n_words bigint, spans array<array<bigint>>, items array<bigint>")
+LONGS = T.ArrayType(T.LongType())
+FOUND_TYPE = T.StructType().add("n_words", T.LongType()).add("spans", T.ArrayType(LONGS)).add("items", LONGS)
 
 
 def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

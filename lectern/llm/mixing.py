@@ -1,7 +1,7 @@
 """Mixing sources to target weights, by a multivariate-hypergeometric splitting tree. DataFrame operations only.
 
 Every source is cut into blocks of documents in a random order fixed by a hash. Its target says how many blocks the mix
-draws: whole passes over the source, then the first blocks of the order, then as much of one last block as fits. The
+draws: whole passes over the source, then the first blocks of the order, then as much of the next few as fits. The
 draws are quotas of the root of a binary tree over output shards. Each node hands a random half of its draws to its
 left child: how many of each source that half holds is a multivariate hypergeometric variate, drawn source by source
 from its exact distribution. The leaves say how many blocks of each source a shard gets; shards take consecutive,
@@ -24,6 +24,8 @@ MAX_REPEATS = 2
 #: Blocks hold about this many words, or a 2^20th of all words where that is more.
 BLOCK_WORDS = 4096
 MAX_BLOCKS = 1 << 20
+#: So many blocks at least, and twice the missing words, are the documents that may fill what is left of a target.
+FILL_BLOCKS = 4
 SHARD_WORDS = 1 << 21
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -177,10 +179,16 @@ def plan_mix(
         (F.sum("words").over(order) - F.col("words")).alias("before"),
         F.count("*").over(Window.partitionBy("source_no")).alias("n_blocks"),
     ).select("*", (F.col("before") < F.col("rest")).alias("last"), (F.col("before") + F.col("words") > F.col("rest")).alias("over"))
+    # What is left of the target after the last whole block is filled with documents of the next few blocks.
+    own, edge = Window.partitionBy("source_no"), F.col("last") & F.col("over")
+    first, room = F.min(F.when(edge, F.col("rank"))).over(own), F.min(F.when(edge, F.col("rest") - F.col("before"))).over(own)
+    passed = F.col("before") - F.min(F.when(edge, F.col("before") + F.col("words"))).over(own)
+    near = (F.col("rank") < first + FILL_BLOCKS) | (passed <= 2 * room)
+    drawn = drawn.withColumn("room", room).withColumn("partial", F.coalesce((F.col("rank") >= first) & near, F.lit(False)))
     drawn = materialise(
         drawn.select(
-            "source_no", "block", "rank", "n_blocks", (F.col("last") & F.col("over")).alias("partial"),
-            (F.col("rest") - F.col("before")).alias("room"), (F.col("passes") + F.col("last").cast("int")).alias("draws"),
+            "source_no", "block", "rank", "n_blocks", "partial", "room",
+            (F.col("passes") + (F.col("last") | F.col("partial")).cast("int")).alias("draws"),
         ),
         "mix-blocks",
     )
@@ -200,9 +208,9 @@ def plan_mix(
 
     inside = placed.join(shards, ["source_no", "block"])
     whole = inside.filter("not partial").select("source_no", "key", "key2", "shards")
-    # The last block of a source: its largest documents first, as many as fit. One bounded block per source.
-    filled = inside.filter("partial").groupBy("source_no", "block", "room", "shards").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("minus"), "key", "key2"))).alias("docs")
+    # The largest documents first, as many as fit. A few bounded blocks per source.
+    filled = inside.filter("partial").groupBy("source_no", "room").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("minus"), "key", "key2", "shards"))).alias("docs")
     )
     state = F.struct(F.col("room").alias("room"), F.array().cast("array<boolean>").alias("taken"))
 
@@ -214,10 +222,10 @@ def plan_mix(
 
     taken = F.aggregate("docs", state, fill, lambda s: s["taken"])
     last = filled.select(
-        "source_no", "shards", F.explode(F.arrays_zip(F.col("docs").alias("d"), taken.alias("fits"))).alias("x")
+        "source_no", F.explode(F.arrays_zip(F.col("docs").alias("d"), taken.alias("fits"))).alias("x")
     ).select(
         "source_no", "x.d.key", "x.d.key2",
-        F.when(F.col("x.fits"), F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.size("shards") - 1)).alias("shards"),
+        F.when(F.col("x.fits"), F.col("x.d.shards")).otherwise(F.slice("x.d.shards", F.lit(1), F.size("x.d.shards") - 1)).alias("shards"),
     )
     chosen = whole.union(last).join(goals.select("source_no", F.col("source").alias("of")), "source_no")
     chosen = chosen.select(F.col("key").alias("k"), F.col("key2").alias("k2"), "of", "shards")

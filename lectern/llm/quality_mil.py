@@ -186,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)])], ["model"])
 
     rows = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
+    fitted = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(fitted[0]) if fitted else {}
 
 
 def score(docs: DataFrame, m: Weights) -> DataFrame:

@@ -189,6 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_per_cla
     rows = rows.select("doc_id", "text", *[F.col(c).cast("int").alias(c) for c in categories])
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *[(c, pa.int32()) for c in categories]])
     fitted = rows.repartition(1).mapInArrow(run, "chain binary").first()
+    if fitted is None:  # no labelled document: nothing is toxic
+        return [Link(np.zeros(0, np.uint64), np.zeros(0), np.zeros(c), np.log(1e-4)) for c in range(len(categories))]
     return [Link(*parts) for parts in pickle.loads(fitted[0])]
 
 
