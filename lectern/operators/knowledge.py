@@ -174,7 +174,8 @@ def _best(q_ids, q_mat, c_ids, c_mat, k: int, min_score: float, skip_self: bool)
         # Nine decimals: equal vectors tie whatever order the products were summed in.
         dots = np.round(q_mat @ c_mat[lo : lo + step].T, 9)
         ids = c_ids[lo : lo + step]
-        keep = dots >= min_score - 0.0001
+        # The gate looks at the clamped score: with no minimum, negative products stay.
+        keep = np.maximum(dots, 0.0) >= min_score - 0.0001
         if skip_self:
             keep &= q_ids[:, None] != ids[None, :]
         qi, ci = np.nonzero(keep)
