@@ -37,9 +37,8 @@ def test_folds_equal_the_sequential_rule(spark, seed, spread):
     for r in C.merge_cues(df, width=width).collect():
         merged.setdefault(r.rec_id, []).append((r.start_ms, r.end_ms, r.text))
     for rec, group in _by_rec(rows).items():
-        want = specs.monotone([(g[2], g[3]) for g in group])
-        assert [mono[(rec, g[1])] for g in group] == want
-        assert sorted(merged.get(rec, [])) == sorted(specs.merged([(g[2], g[3], g[4]) for g in group]))
+        specs.check_monotone([(g[2], g[3]) for g in group], [mono[(rec, g[1])] for g in group])
+        specs.check_merged([(g[2], g[3], g[4]) for g in group], sorted(merged.get(rec, [])))
 
 
 def test_sharded_windows_equal_plain_windows(spark):
