@@ -15,6 +15,7 @@ from lectern.llm import (
     quality_mil,
     quality_rules,
     toxicity,
+    twins,
     warc_fixity,
 )
 from lectern.plans.registry import Query
@@ -99,3 +100,5 @@ for _query in (
     op10_token_packing,
 ):
     QUERIES[_query.__name__] = _query
+
+ORACLES |= {"op1_quality_rules": twins.quality_sql(), "op6_decontaminate": twins.decontaminate_sql()}
