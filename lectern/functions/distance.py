@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = 64
+#: Pairs that advance together have at most so many characters, counting each partner as long as the longest.
+MAX_CELLS = 1 << 21
 _ONE = np.uint64(1)
 _TOP = np.uint64(WORD - 1)
 
@@ -35,8 +37,12 @@ def distances(a: list[str], b: list[str]) -> np.ndarray:
     for w in np.unique(blocks[differ]):
         # Longest partner first: the pairs still running are always a prefix.
         rows = sorted(np.flatnonzero(differ & (blocks == w)), key=lambda i: -len(b[i]))
-        left, right = [a[i] for i in rows], [b[i] for i in rows]
-        out[rows] = [len(x) for x in right] if w == 0 else _advance(left, right, int(w))
+        lo = 0
+        while lo < len(rows):
+            some = rows[lo : lo + max(1, MAX_CELLS // max(1, len(b[rows[lo]])))]
+            left, right = [a[i] for i in some], [b[i] for i in some]
+            out[some] = [len(x) for x in right] if w == 0 else _advance(left, right, int(w))
+            lo += len(some)
     return out
 
 
