@@ -87,7 +87,10 @@ def _advance(a: list[str], b: list[str], blocks: int) -> np.ndarray:
 
 
 def edit_distance(a: Column | str, b: Column | str) -> Column:
-    """Edit distance of two text columns; NULL if either is NULL."""
+    """Edit distance of two text columns; NULL if either is NULL.
+
+    Marked as not deterministic, which keeps Spark from evaluating it again below a filter on its result.
+    """
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
@@ -96,4 +99,4 @@ def edit_distance(a: Column | str, b: Column | str) -> Column:
             out[known] = distances(list(x[known]), list(y[known]))
             yield pd.Series(out).astype("Int64")
 
-    return F.pandas_udf(run, "bigint")(a, b)
+    return F.pandas_udf(run, "bigint").asNondeterministic()(a, b)

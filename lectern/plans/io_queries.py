@@ -33,7 +33,7 @@ def uid_text_round_trip(spark, d):
     unique = docs.select(F.concat(F.lit("doc"), "doc_id").alias("uid"), "hyp")
     repeated = docs.select(F.concat(F.lit("lang_"), "lang").alias("uid"), "hyp")
     path = scratch_path(spark, "hyps")
-    lines = unique.unionByName(repeated).repartitionByRange(4, "uid", "hyp").sortWithinPartitions("uid", "hyp")
+    lines = unique.unionByName(repeated).repartitionByRange("uid", "hyp").sortWithinPartitions("uid", "hyp")
     lines.select(F.concat_ws("\t", "uid", "hyp").alias("value")).write.text(path)
     return R.read_uid_text(spark, path + "/*.txt")
 
@@ -172,7 +172,7 @@ SELECT i AS line_no, event_type AS value FROM r""")
 def numbered_lines(spark, d):
     """Line numbers over several files match the order the lines were written in."""
     path = scratch_path(spark, "lines")
-    B.table(spark, d, "events").select("event_id", "event_type").repartitionByRange(4, "event_id").sortWithinPartitions(
+    B.table(spark, d, "events").select("event_id", "event_type").repartitionByRange("event_id").sortWithinPartitions(
         "event_id"
     ).select(F.col("event_type").alias("value")).write.text(path)
     return R.numbered_lines(spark, path).select("line_no", "value")
