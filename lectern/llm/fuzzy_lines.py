@@ -12,11 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from os.path import commonprefix
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lectern.llm import textops as X
 from lectern.llm.grouping import link_buckets
@@ -26,6 +29,8 @@ RADIUS = 3
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 #: Edit similarity, 1 - distance / longer length, in percent.
 PERCENT = 80
+#: Words skipped in both lines together in search of the next common word.
+REACH = 24
 
 
 def lines_of(texts: list[bytes], powers: X.Powers) -> list[tuple[np.ndarray, ...]]:
@@ -117,16 +122,60 @@ def block_keys(sim: Column) -> Column:
     return F.array(*[F.shiftleft(F.shiftleft(F.lit(k).cast("bigint"), 13).bitwiseOR(block[a]), 13).bitwiseOR(block[b]).cast("int") for k, (a, b) in enumerate(pairs)])
 
 
+def span_edits(a: str, b: str) -> int:
+    """At least the edit distance of two normal forms: the words are walked together, and where they differ the nearest
+    common words within ``REACH`` end the differing spans, the longer of which is counted whole."""
+    x, y = a.split(" "), b.split(" ")
+    i = j = edits = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        steps = ((s, d - s) for d in range(1, REACH) for s in range(d + 1))
+        ahead = ((s, t) for s, t in steps if i + s < len(x) and j + t < len(y) and x[i + s] == y[j + t])
+        s, t = next(ahead, (1, 1))
+        edits += max(sum(map(len, x[i : i + s])) + s, sum(map(len, y[j : j + t])) + t)
+        i, j = i + s, j + t
+    return edits + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j)
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Edit distance in characters: a column of the table is two bit vectors, of rises and of falls, held in integers."""
+    lead = len(commonprefix((a, b)))
+    a, b = a[lead:], b[lead:]
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    rise, fall, distance = full, 0, len(a)
+    for c in b:
+        same = at.get(c, 0)
+        diagonal = (((same & rise) + rise) ^ rise) | same | fall
+        up, down = fall | (full & ~(diagonal | rise)), rise & diagonal
+        distance += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        rise, fall = down | (full & ~(diagonal | up)), up & diagonal
+    return distance
+
+
+def similar(a: str, b: str, percent: int = PERCENT) -> bool:
+    """Whether two normal forms are similar in edit distance.
+
+    Nearly all pairs that arrive here share most of their words, and the bound from aligned words settles them.
+    """
+    most = max(len(a), len(b)) * (100 - percent) // 100
+    return span_edits(a, b) <= most or abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+
+
 def edit_similar(percent: int = PERCENT) -> Column:
-    """Whether form_a and form_b are similar in edit distance.
+    """Whether form_a and form_b are similar in edit distance."""
 
-    The built-in distance works on a band as wide as the allowed distance. Most linked lines differ little, so narrow
-    bands are tried first; the last band is the full one.
-    """
-    most = f"cast(floor(greatest(length(form_a), length(form_b)) * {100 - percent} / 100) as int)"
-    within = lambda limit: F.expr(f"levenshtein(form_a, form_b, {limit}) >= 0")
-    narrow, wide = (within(f"least({n}, {most})") for n in (8, 48))
-    return F.when(narrow, True).when(wide, True).otherwise(within(most))
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar(x, y, percent) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return F.pandas_udf(run, BooleanType())("form_a", "form_b")
 
 
 def link_lines(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -365,6 +365,27 @@ def test_fuzzy_lines(spark, none):
     assert fuzzy_lines.duplicate_lines(none).count() == 0
 
 
+def test_edit_distance_and_its_bound():
+    rng = random.Random(8)
+    words = [f"w{i}" * rng.randrange(1, 4) for i in range(12)]
+    tight = 0
+    for _ in range(400):
+        x = [rng.choice(words) for _ in range(rng.randrange(1, 30))]
+        y = [rng.choice(words) if rng.random() < 0.2 else w for w in x if rng.random() < 0.9] or ["z"]
+        a, b = " ".join(x), " ".join(y)
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, d in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        assert fuzzy_lines.span_edits(a, b) >= row[-1] == fuzzy_lines.edit_distance(a, b)
+        assert fuzzy_lines.similar(a, b) == (row[-1] <= max(len(a), len(b)) // 5)
+        tight += fuzzy_lines.span_edits(a, b) == row[-1]
+    assert fuzzy_lines.edit_distance("", "é") == 1 and fuzzy_lines.edit_distance("", "") == 0
+    assert tight and fuzzy_lines.span_edits("same words", "same words") == 0
+
+
 def test_fixity_audit(spark, tmp_path):
     rows = [(f"a{i % 2}", 40_000 * (i // 2), bytes([i]) * 9) for i in range(60)] + [("c", 0, b""), (None, 0, b"z")]
     a = spark.createDataFrame(rows, "archive string, offset long, record binary")
