@@ -2,15 +2,20 @@
 
 A line is normalised to its lower-cased words. Equal normal forms are one line. Every line has a 64-bit SimHash of its
 words of four bytes or more (of all, where it has none): the short, frequent words say little and would make the
-SimHashes of unrelated lines agree. Lines may be alike when their SimHashes differ in at most three bits. With the bits cut into five blocks two
-such lines agree on two whole blocks, so the ten pairs of blocks are the keys of the join. A pair is linked when its
-normal forms are similar in edit distance; of each connected group of lines one occurrence stays, the first by
-document and line number.
+SimHashes of unrelated lines agree. Lines are compared when their SimHashes differ in at most three bits. With the bits cut into five blocks two
+such lines agree on two whole blocks, so the ten pairs of blocks are keys of the join.
+
+Few lines of edit similarity 80 % are that near, so lines are also compared when they share a run of bytes: every line
+has a sample of the runs of its normal form as keys, longer runs in longer lines, and lines of up to 14 characters all
+their forms with a fifth of the characters left out, which no similar pair of such lines can escape. A pair is linked
+when its normal forms are similar in edit distance; of each connected group of lines one occurrence stays, the first
+by document and line number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from itertools import combinations
 from os.path import commonprefix
 
@@ -29,12 +34,18 @@ RADIUS = 3
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 #: Edit similarity, 1 - distance / longer length, in percent.
 PERCENT = 80
+#: Pairs of lines of at most so many characters always share a form with characters left out.
+SHORT = 14
+#: (characters of the longer line at most, bytes of a run): short runs of long lines would be shared by chance.
+RUNS = [(24, 6), (40, 8), (64, 10), (1 << 62, 16)]
+#: Runs of a line that are keys, about: those with the smallest hashes.
+SAMPLED = 24
 #: Words skipped in both lines together in search of the next common word.
 REACH = 24
 
 
-def lines_of(texts: list[bytes], powers: X.Powers) -> list[tuple[np.ndarray, ...]]:
-    """Per text: numbers, hashes, SimHashes and normal lengths of its lines with words."""
+def lines_of(texts: list[bytes], powers: X.Powers, with_sim: bool = True) -> list[tuple[np.ndarray, ...]]:
+    """Per text: numbers, hashes, SimHashes (0 without ``with_sim``) and normal lengths of its lines with words."""
     w = X.Words([t.translate(X.LOWER) for t in texts], X.NOT_ALNUM, powers)
     if not len(w.start):
         return [(np.zeros(0, np.int64),) * 4 for _ in texts]
@@ -46,7 +57,9 @@ def lines_of(texts: list[bytes], powers: X.Powers) -> list[tuple[np.ndarray, ...
     powers.reach(len(word) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * powers.up[: len(word)])])
     hashes = X.mix((sums[at + n] - sums[at]) * powers.down[at] + n.astype(np.uint64))
-    sim = simhash(word, np.repeat(np.arange(len(at)), n), w.end - w.start > 3, len(at))
+    sim = np.zeros(len(at), np.uint64)
+    if with_sim:
+        sim = simhash(word, np.repeat(np.arange(len(at)), n), w.end - w.start > 3, len(at))
     ends = np.concatenate([[0], np.cumsum(w.end - w.start)])
     length = ends[at + n] - ends[at] + n - 1
     first = np.searchsorted(breaks, w.first[:-1])
@@ -79,25 +92,116 @@ def normal_lines(text: bytes) -> list[tuple[int, bytes]]:
     return [(i, f) for i, f in forms if f]
 
 
-LINE = pa.struct([("no", pa.int32()), ("line", pa.int64()), ("sim", pa.int64()), ("size", pa.int32())])
+def run_keys(forms: list[bytes], q: int, powers: X.Powers) -> tuple[np.ndarray, np.ndarray]:
+    """(form number, key) of the sampled runs of ``q`` bytes of forms that have one.
+
+    A run is taken when its hash is below a limit that falls with the length of the form, so of two forms the shorter
+    takes every shared run that the longer one takes.
+    """
+    size = np.fromiter(map(len, forms), np.int64, len(forms))
+    buf = np.frombuffer(b"".join(forms), np.uint8)
+    powers.reach(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(powers.values[buf] * powers.up[: len(buf)], out=sums[1:])
+    n = size - q + 1
+    ends = np.cumsum(n)
+    start = np.arange(ends[-1]) + np.repeat((q - 1) * np.arange(len(forms)), n)
+    run = X.mix((sums[start + q] - sums[start]) * powers.down[start])
+    limit = (np.minimum(1, SAMPLED / n) * 2**53).astype(np.uint64)
+    form = np.repeat(np.arange(len(forms)), n)
+    taken = np.flatnonzero(run >> np.uint64(11) < limit[form])
+    form, key = form[taken], run[taken]
+    # Forms that repeat themselves have few different runs: the smallest of all.
+    few = np.flatnonzero(np.bincount(form, minlength=len(forms)) < np.minimum(n, SAMPLED // 2))
+    least = [np.unique(run[ends[i] - n[i] : ends[i]])[:SAMPLED] for i in few]
+    form = np.concatenate([form, np.repeat(few, [len(x) for x in least])])
+    return form, X.mix(np.concatenate([key, *least]) + np.uint64(q))
+
+
+def left_out(form: str, n: int) -> set[str]:
+    """``form`` with up to ``n`` characters left out."""
+    found = last = {form}
+    for _ in range(n):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        found = found | last
+    return found
+
+
+def shared_keys(forms: list[bytes], powers: X.Powers, percent: int = PERCENT) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Characters of each form, and its keys, all negative."""
+    text = [f.decode("utf-8", "replace") for f in forms]
+    chars = np.fromiter(map(len, text), np.int64, len(forms))
+    owner, keys = [], []
+    for i in np.flatnonzero(chars <= SHORT):
+        variants = [x.encode() for x in left_out(text[i], int(chars[i]) * (100 - percent) // 100)]
+        owner.append(np.full(len(variants), i))
+        keys.append(np.array([int.from_bytes(blake2b(x, digest_size=8).digest(), "little") for x in variants], np.uint64))
+    above = SHORT
+    for most, q in RUNS:
+        size = np.fromiter(map(len, forms), np.int64, len(forms))
+        # Every pair whose longer line has above + 1 to most characters has both lines here.
+        here = np.flatnonzero((100 * chars >= percent * (above + 1)) & (chars <= most) & (size >= q))
+        above = most
+        if len(here):
+            form, key = run_keys([forms[i] for i in here], q, powers)
+            owner.append(here[form])
+            keys.append(key)
+    both = np.zeros(0, [("owner", np.int64), ("key", np.int64)])
+    if owner:
+        both = np.empty(sum(map(len, owner)), both.dtype)
+        both["owner"], both["key"] = np.concatenate(owner), (np.concatenate(keys) | np.uint64(1 << 63)).view(np.int64)
+    order = np.lexsort((both["key"], both["owner"]))
+    both = both[order]
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    return chars, np.split(both["key"], np.searchsorted(both["owner"], np.arange(1, len(forms))))
+
+
+LINE = pa.struct([("no", pa.int32()), ("line", pa.int64())])
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and, per row of ``docs``, its lines with words (no, line hash, sim, size in bytes)."""
+    """doc_id, text_key and, per row of ``docs``, its lines with words (no, line hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = X.Powers()
         for batch in batches:
             texts = X.texts_of(batch.column(2))
-            found = [x for lo, hi in X.chunks(texts) for x in lines_of(texts[lo:hi], powers)]
+            found = [x for lo, hi in X.chunks(texts) for x in lines_of(texts[lo:hi], powers, False)]
             ends = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32))
-            columns = [np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in range(4)]
+            columns = [np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in range(2)]
             parts = [pa.array(c).cast(f.type) for c, f in zip(columns, LINE, strict=True)]
             lines = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, fields=list(LINE)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lines], ["doc_id", "text_key", "lines"])
 
     given = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return given.mapInArrow(run, "doc_id bigint, text_key bigint, lines array<struct<no: int, line: bigint, sim: bigint, size: int>>")
+    return given.mapInArrow(run, "doc_id bigint, text_key bigint, lines array<struct<no: int, line: bigint>>")
+
+
+def line_members(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """line (hash), sim, size in characters and keys of every different line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = X.Powers()
+        for batch in batches:
+            texts = X.texts_of(batch.column(0))
+            for lo, hi in X.chunks(texts):
+                found = lines_of(texts[lo:hi], powers)
+                hashes, sim = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+                forms = [f for t in texts[lo:hi] for _, f in normal_lines(t)]
+                hashes, once = np.unique(hashes, return_index=True)
+                if not len(once):
+                    continue
+                chars, keys = shared_keys([forms[i] for i in once], powers, percent)
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32))
+                columns = [pa.array(hashes), pa.array(sim[once]), pa.array(chars.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))], ["line", "sim", "size", "keys"]
+                )
+
+    found = docs.select("text").mapInArrow(run, "line bigint, sim bigint, size int, keys array<bigint>")
+    return found.dropDuplicates(["line"])
 
 
 def line_texts(docs: DataFrame) -> DataFrame:
@@ -108,7 +212,7 @@ def line_texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = X.texts_of(batch.column(0))
             for lo, hi in X.chunks(texts):
-                hashes = np.concatenate([x[1] for x in lines_of(texts[lo:hi], powers)])
+                hashes = np.concatenate([x[1] for x in lines_of(texts[lo:hi], powers, False)])
                 forms = [f for t in texts[lo:hi] for _, f in normal_lines(t)]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(forms, pa.binary()).cast(pa.string())], ["line", "form"])
 
@@ -179,13 +283,13 @@ def edit_similar(percent: int = PERCENT) -> Column:
 
 
 def link_lines(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id, component) of the lines that are alike, by line hash. ``lines`` has line, sim and size, each line once."""
+    """(id, component) of the lines that are alike, by line hash. ``lines`` is what line_members gives."""
 
     def possible(p: str, q: str) -> Column:
-        near = F.bit_count(F.col(f"{p}sim").bitwiseXOR(F.col(f"{q}sim"))) <= RADIUS
-        a, b = F.col(f"{p}size"), F.col(f"{q}size")
-        # Bytes bound characters only within a factor of four, so this prunes by a wide margin and loses nothing.
-        return near & (400 * F.least(a, b) >= percent * F.greatest(a, b))
+        # Only the keys from blocks of the SimHash, which are positive, ask for near SimHashes.
+        near = (F.col("key") < 0) | (F.bit_count(F.col(f"{p}sim").bitwiseXOR(F.col(f"{q}sim"))) <= RADIUS)
+        a, b = (F.col(f"{x}size").cast("bigint") for x in (p, q))
+        return near & (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
     def confirmer(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
         wanted = line_texts(docs).join(ids.withColumnRenamed("x", "line"), "line", "left_semi").dropDuplicates(["line"])
@@ -198,7 +302,7 @@ def link_lines(docs: DataFrame, lines: DataFrame, percent: int = PERCENT) -> Dat
 
         return confirm
 
-    members = lines.select(F.col("line").alias("x"), block_keys(F.col("sim")).alias("keys"), "sim", "size")
+    members = lines.select(F.col("line").alias("x"), F.concat("keys", block_keys(F.col("sim")).cast("array<bigint>")).alias("keys"), "sim", "size")
     return link_buckets(members, possible, confirmer)
 
 
@@ -211,7 +315,7 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     table = materialise(line_table(docs), "lines")
     each = table.select("doc_id", "text_key", F.explode("lines").alias("l")).select("doc_id", "text_key", "l.*")
-    lines = materialise(each.groupBy("line").agg(F.min("sim").alias("sim"), F.min("size").alias("size")), "distinct-lines")
+    lines = materialise(line_members(docs, percent), "distinct-lines")
     labels = link_lines(docs, lines, percent).select(F.col("id").alias("line"), "component")
     where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "no")
     grouped = each.join(labels, "line", "left").select("doc_id", "text_key", "no", where.alias("at"), F.coalesce("component", "line").alias("group"))

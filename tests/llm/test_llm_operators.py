@@ -365,6 +365,34 @@ def test_fuzzy_lines(spark, none):
     assert fuzzy_lines.duplicate_lines(none).count() == 0
 
 
+def test_fuzzy_lines_are_those_of_edit_similarity_alone(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    forms = []
+    for n in (1, 2, 3, 5, 9, 16, 30, 60):
+        for _ in range(4):
+            words = [word() for _ in range(n)]
+            letters, some = list(" ".join(words)), list(words)
+            letters[rng.choice([i for i, c in enumerate(letters) if c != " "])] = "7"
+            some[n // 2 : n // 2 + max(1, n // 8)] = [word() for _ in range(max(1, n // 8))]
+            forms += [" ".join(words), "".join(letters), " ".join(some), " ".join(words[: n - n // 8])]
+    unspaced = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40))
+    forms += [unspaced, unspaced[:20] + "\u4e00" + unspaced[21:], unspaced[:37], "z " * 90 + "z", "z " * 95 + "z"]
+    docs = spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "doc_id long, text string")
+    group = groups(range(len(forms)), lambda a, b: fuzzy_lines.edit_distance(forms[a], forms[b]) <= max(len(forms[a]), len(forms[b])) // 5)
+    assert len(set(group.values())) < len(forms) // 2
+    got = {r.doc_id: bool(r.removed) for r in fuzzy_lines.duplicate_lines(docs).collect()}
+    assert got == {i: group[i] != i for i in group}
+
+
+def test_short_lines_that_are_similar_share_a_key():
+    rng = random.Random(12)
+    forms = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, fuzzy_lines.SHORT + 1))) for _ in range(900)})
+    keys = [set(k.tolist()) for k in fuzzy_lines.shared_keys([f.encode() for f in forms], fuzzy_lines.X.Powers())[1]]
+    near = [(a, b) for a in range(len(forms)) for b in range(a) if fuzzy_lines.similar(forms[a], forms[b])]
+    assert len(near) > 100 and all(keys[a] & keys[b] for a, b in near)
+
+
 def test_edit_distance_and_its_bound():
     rng = random.Random(8)
     words = [f"w{i}" * rng.randrange(1, 4) for i in range(12)]
