@@ -4,8 +4,9 @@ Pages of one host share a template. Its tokens are the tags at their paths: an o
 element path. Tokens with the same occurrence vector over the host's pages form an equivalence class. A class is valid
 where it occurs on enough pages, each token once a page, and opening and closing tokens of a path are in it together;
 classes nest as their paths do. The valid elements make the template; of those that hold at least half of the text of
-their pages outside menus, adverts and the like, the innermost is the main one, and what fills the slots inside it is
-the main text.
+their pages outside menus, adverts and the like, the innermost container is the main one. The main text is what fills
+the slots inside it and, as titles and leads may stand before it, those slots outside it that are no part of the
+template: a slot is, when all pages that have it have the same words there though the pages differ.
 
 Occurrence vectors are never gathered: a token's vector is represented by the exclusive-or of a hash of (page, count),
 which pre-aggregates, so a host with a third of all pages costs no more than another. A host's template is a short list
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,8 @@ from lectern.session import materialise
 
 #: A class counts when it is on this share of the host's pages.
 MIN_SUPPORT = 0.1
+#: Fewer pages with the same words in a slot do not make the words part of the template.
+MIN_FIXED = 3
 #: The main element holds at least this share of the text of its pages.
 MIN_SHARE = 0.5
 
@@ -46,6 +50,8 @@ BLOCKS = set(
     "form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table "
     "tbody td tfoot th thead title tr ul".split()
 )
+#: Elements that may be the main one: headings, paragraphs, list items and inline elements hold parts of an article.
+CONTAINERS = set("html body article main section div center table tbody tr td".split())
 #: Elements that are not article text wherever they stand.
 NOISE_TAGS = set("head nav footer aside form button select menu dialog input label fieldset object embed audio video".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
@@ -133,9 +139,15 @@ def text_size(text: str) -> int:
     return sum(map(len, text.split()))
 
 
-def page_tokens(page: str) -> list[tuple[str, bool, int, int, int]]:
-    """(path, closing?, count, text under it, text of the page) of each token; noise has no text."""
+def words_hash(texts: list[str]) -> int:
+    return int.from_bytes(blake2b(" ".join(" ".join(texts).split()).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def page_tokens(page: str) -> list[tuple[str, bool, int, int, int, int | None, int | None]]:
+    """(path, closing?, count, text under it, text of the page, hash of its own words, hash of the page's words) of each
+    token; noise has no text, and closing tokens and elements without own words have no hashes."""
     counts: dict[tuple[str, bool], list[int]] = {}
+    own: dict[str, list[str]] = {}
     total, inside = 0, []
     for kind, element, text in events(page):
         if kind == "open":
@@ -150,27 +162,40 @@ def page_tokens(page: str) -> list[tuple[str, bool, int, int, int]]:
         elif kind == "text" and not element.noise:
             size = text_size(text)
             total += size
+            if size:
+                own.setdefault(element.path, []).append(text)
             if inside:
                 inside[-1].chars += size
-    return [(path, closing, n, size, total) for (path, closing), (n, size) in counts.items()]
+    hashes = {path: words_hash(t) for path, t in own.items()}
+    body = words_hash([x for t in own.values() for x in t])
+    return [
+        (path, closing, n, size, total, *((None, None) if closing or path not in hashes else (hashes[path], body)))
+        for (path, closing), (n, size) in counts.items()
+    ]
 
 
-def main_text(page: str, candidates: list[str]) -> str:
-    """The text in the first of ``candidates`` that the page has once; without one, of its article, main or body."""
+def main_text(page: str, candidates: list[str], fixed: list[str]) -> str:
+    """The text in the first of ``candidates`` that the page has once and in all slots but the ``fixed`` outside it;
+    without a candidate, the text of the page's article and main elements or, where it has none, of the page."""
     found: dict[str, int] = {}
-    every: list[tuple[str, bool, str]] = []
+    every: list[tuple[Element, str]] = []
     for kind, element, text in events(page):
         if kind == "open":
             found[element.path] = found.get(element.path, 0) + 1
         elif kind in ("text", "break"):
-            every.append((element.path, element.noise, text))
+            every.append((element, text))
     root = next((c for c in candidates if found.get(c) == 1), None)
-    if root is None:
-        named = [p for p in found if re.fullmatch(r"(article|main)\b.*", p.rpartition("/")[2])]
-        root = min(named, key=lambda p: p.count("/")) if named else ""
+    articles = root is None and any(e.article and not e.noise and text.strip() for e, text in every)
+    left = set(fixed)
+
+    def kept(e: Element) -> bool:
+        if root is None:
+            return e.article or not articles
+        return e.path not in left or e.path == root or e.path.startswith(root + "/")
+
     blocks, block = [], []
-    for path, noise, text in every:
-        if noise or not (path == root or path.startswith(root + "/")):
+    for element, text in every:
+        if text and (element.noise or not kept(element)):
             continue
         if text:
             block.append(text)
@@ -187,7 +212,8 @@ def host_of(url: Column) -> Column:
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, candidates): for each host the paths of its main elements, innermost first."""
+    """(host, candidates, fixed): for each host the paths of its main elements, innermost first, and of the slots whose
+    words belong to the template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,8 +225,8 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
                     rows = []
             yield as_batch(rows)
 
-    names = ["host", "page", "path", "closing", "n", "chars", "total"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["host", "page", "path", "closing", "n", "chars", "total", "own", "body"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 5]
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
@@ -208,10 +234,11 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
 
     given = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), "html")
     tokens = given.mapInArrow(
-        run, "host string, page bigint, path string, closing boolean, n bigint, chars bigint, total bigint"
+        run, "host string, page bigint, path string, closing boolean, n bigint, chars bigint, total bigint, own bigint, body bigint"
     ).groupBy("host", "path", "closing").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("support"), F.max("n").alias("most"),
-        F.sum("chars").alias("chars"), F.sum("total").alias("total"),
+        F.sum("chars").alias("chars"), F.sum("total").alias("total"), F.count("own").alias("filled"),
+        *[f(c).alias(f"{f.__name__}_{c}") for c in ("own", "body") for f in (F.min, F.max)],
     )
     tokens = materialise(tokens, "tokens")
     sizes = tokens.groupBy("host").agg(F.max("support").alias("pages"))
@@ -222,12 +249,19 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
         F.col("host").eqNullSafe(F.col("c_host")) & (F.col("path") == F.col("c_path"))
         & (F.col("vector") == F.col("c_vector")) & (F.col("support") == F.col("c_support")),
     )
-    chosen = valid.filter(F.col("chars") >= MIN_SHARE * F.greatest("total", F.lit(1))).join(
+    tag = F.substring_index(F.substring_index("path", "/", -1), ".", 1)
+    chosen = valid.filter(tag.isin(*CONTAINERS)).filter(F.col("chars") >= MIN_SHARE * F.greatest("total", F.lit(1))).join(
         sizes.withColumnRenamed("host", "s_host"), F.col("host").eqNullSafe(F.col("s_host"))
     ).filter(F.col("support") >= MIN_SUPPORT * F.col("pages"))
     depth = -F.size(F.split("path", "/"))
     ranked = F.array_sort(F.collect_list(F.struct(depth.alias("depth"), (-F.col("support")).alias("n"), "path")))
-    return chosen.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("candidates"))
+    mains = chosen.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("candidates"))
+    same = tokens.filter((F.col("filled") >= MIN_FIXED) & (F.col("min_own") == F.col("max_own")) & (F.col("min_body") != F.col("max_body")))
+    fixed = same.join(sizes.withColumnRenamed("host", "s_host"), F.col("host").eqNullSafe(F.col("s_host"))).filter(
+        F.col("filled") >= MIN_SUPPORT * F.col("pages")
+    ).groupBy(F.col("host").alias("f_host")).agg(F.sort_array(F.collect_list("path")).alias("fixed"))
+    both = mains.join(fixed, F.col("host").eqNullSafe(F.col("f_host")), "left")
+    return both.select("host", "candidates", F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -235,16 +269,16 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space inside a block becomes one space, blocks follow each other by one
     space. A null or empty page has an empty text. Pages without host share one group; pages that their group's
-    template does not fit give the text of their own article, main or body element. Repeated rows give equal texts.
+    template does not fit give the text of their own article and main elements, or all of it. Repeated rows give equal texts.
     """
     templates = materialise(deduce_templates(pages), "templates").withColumnRenamed("host", "t_host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chosen = batch.column(3).to_pylist()
-            texts = [main_text(p.decode("utf-8", "replace"), c or []) for p, c in zip(X.texts_of(batch.column(2)), chosen, strict=True)]
+            chosen = zip(X.texts_of(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            texts = [main_text(p.decode("utf-8", "replace"), c or [], f or []) for p, c, f in chosen]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     given = pages.select("page_id", "url", "html")
     joined = given.join(templates, host_of(F.col("url")).eqNullSafe(F.col("t_host")), "left")
-    return joined.select("page_id", "url", "html", "candidates").mapInArrow(run, "page_id bigint, url string, text string")
+    return joined.select("page_id", "url", "html", "candidates", "fixed").mapInArrow(run, "page_id bigint, url string, text string")

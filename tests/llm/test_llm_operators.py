@@ -328,6 +328,20 @@ def test_html_templates(spark):
     assert paths["h1.org"][0] == "/html/body/div.story"
 
 
+def test_html_titles_and_leads_outside_the_main_element(spark):
+    page = "<html><body><div>Daily Post</div><article><h1>Title {0}</h1><p>Lead {0}</p><div class='text'><p>{1}</p></div></article></body></html>"
+    bold = "<html><body><article><h1>Head {0}</h1><p><b>{1}</b><p>Later {0}</article></body></html>"
+    long = lambda i: " ".join(f"word{i}x{k}" for k in range(50))
+    rows = [(i, f"http://a.org/{i}", page.format(i, long(i))) for i in range(6)]
+    rows += [(10 + i, f"http://b.org/{i}", bold.format(i, long(i))) for i in range(6)] + [(20, "http://c.org/", bold.format(20, long(20)))]
+    rows += [(30, "d", "<article class=a>One</article>or<article class=b>Two</article>")]
+    got = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"Title {i} Lead {i} {long(i)}"
+        assert got[10 + i] == f"Head {i} {long(i)} Later {i}"
+    assert (got[20], got[30]) == (f"Head 20 {long(20)} Later 20", "One Two")
+
+
 def test_fuzzy_lines(spark, none):
     rng = random.Random(1)
     base = " ".join(f"common{i}" for i in range(40))
