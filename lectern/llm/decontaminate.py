@@ -163,6 +163,8 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_by
     null. Ids are ascending, nulls last. An empty ``items`` hits nothing. A column of ``docs`` named ``found`` is
     replaced. Repeated rows are searched each on its own.
     """
+    # Copies of a row would all be dealt into one block.
+    items = items.select("item_id", "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))

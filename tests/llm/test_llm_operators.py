@@ -157,6 +157,15 @@ def test_decontamination(spark, docs, none, block_bytes):
     assert decontaminate.digest(decontaminate.find_items(docs, table.limit(0))).filter("contaminated").count() == 0
 
 
+def test_decontamination_blocks_hold_no_repeats(spark, docs, monkeypatch):
+    blocks, search = [], decontaminate.search_block
+    monkeypatch.setattr(decontaminate, "search_block", lambda d, pairs, window: blocks.append(pairs) or search(d, pairs, window))
+    items = [(i, f"item number {i} here") for i in range(8)] + [(20, "two words")] * 60
+    found = decontaminate.find_items(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=200)
+    assert sorted(p for b in blocks for p in b) == sorted({(i, t.encode()) for i, t in items}) and len(blocks) == 1
+    assert {r.doc_id for r in decontaminate.digest(found).filter("contaminated").collect()} == {5}
+
+
 def test_mixing(docs, none):
     plan = mixing.plan_mix(docs, block_words=50, shard_words=400).collect()
     assert len(plan) == docs.count()
