@@ -14,9 +14,12 @@ from lectern.llm import (
     packing,
     quality_mil,
     quality_rules,
+    substring_dedup,
+    token_alignment,
     toxicity,
     twins,
     warc_fixity,
+    whitening,
 )
 from lectern.plans.registry import Query
 from lectern.session import materialise, scratch_path
@@ -95,10 +98,22 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(spark.read.parquet(path))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.compare_tokenizers(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 for _query in (
     op1_quality_rules, op2_warc_fixity, op3_near_dedup, op4_html_template, op5_fuzzy_lines, op6_decontaminate, op7_mixing, op8_quality_mil, op9_toxicity,
-    op10_token_packing,
+    op10_token_packing, op11_token_alignment, op12_substring_dedup, op13_whitening,
 ):
     QUERIES[_query.__name__] = _query
 
-ORACLES |= {"op1_quality_rules": twins.quality_sql(), "op6_decontaminate": twins.decontaminate_sql()}
+ORACLES |= {"op1_quality_rules": twins.quality_sql(), "op6_decontaminate": twins.decontaminate_sql(), "op12_substring_dedup": twins.substring_sql()}

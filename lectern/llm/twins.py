@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lectern.llm.decontaminate import WINDOW
 from lectern.llm.quality_rules import MEASURES, MIN_GROUP, MIN_WORDS, REPEAT_PERCENT, SPREADS
+from lectern.llm.substring_dedup import WINDOW as REPEAT_WINDOW
 
 #: Rates per measure, as in ``quality_rules.rates``.
 RATES = {
@@ -100,3 +101,25 @@ def decontaminate_sql() -> str:
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
         sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM docs LEFT JOIN covered USING (row_no) LEFT JOIN found USING (row_no)"""
+
+
+def substring_sql() -> str:
+    """Every window that occurs twice covers its words; the others are kept."""
+    return rf"""
+    WITH given AS (
+        SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), windows AS (
+        SELECT row_no, i, md5(array_to_string(w[i : i + {REPEAT_WINDOW - 1}], ' ')) AS name
+        FROM (SELECT row_no, w, unnest(range(1, len(w) - {REPEAT_WINDOW - 2})) AS i FROM given WHERE len(w) >= {REPEAT_WINDOW})
+    ), twice AS (
+        SELECT row_no, i FROM windows QUALIFY count(*) OVER (PARTITION BY name) > 1
+    ), gone AS (
+        SELECT DISTINCT row_no, unnest(range(i, i + {REPEAT_WINDOW})) AS k FROM twice
+    ), words AS (
+        SELECT row_no, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM given
+    ), kept AS (
+        SELECT row_no, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM words ANTI JOIN gone USING (row_no, k) GROUP BY row_no
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+    FROM given LEFT JOIN kept USING (row_no)
+    """
