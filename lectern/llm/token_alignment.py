@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -35,7 +35,7 @@ SEARCH = 32
 #: Pairs whose counts are sent to every task: 17 bytes each, so about 4 MB at any size of the corpus.
 FREQUENT = 1 << 18
 #: Words whose tokens a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: Texts of these characters only are cut into words here; all Unicode versions agree on their classes.
 PLAIN = regex.compile(r"[\t\n\r -~¡-ȳ]*")
 
@@ -135,14 +135,11 @@ def lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
 ALIGNED = "key bigint, doc_id bigint, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>, links_a array<int>, links_b array<int>"
 
 
-def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): both token sequences, the groups and the links.
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-    ``a_ids`` and ``b_ids`` are the tokens of space+text; a group ends before the token numbers ``a_ends[k]`` and
-    ``b_ends[k]``; ``links_a[k]`` and ``links_b[k]`` are two tokens whose bytes overlap, by ``a`` and then ``b``. Texts
-    that are null, empty, or not given back by either tokenizer's bytes have empty arrays. Repeated rows and null
-    doc_ids are rows like others; ``key`` tells rows apart. Other columns are ignored. An empty table gives no rows.
-    """
+
+def aligner(byte_bpe: str, pieces: str) -> Batches:
+    """The function that turns batches of key, doc_id and text into those of ``align``, each of about a megabyte of text."""
     vocabulary, model = Path(byte_bpe).read_text(), Path(pieces).read_bytes()  # two megabytes, sent with the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +174,22 @@ def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> Da
                     ["key", "doc_id", "a_ids", "b_ids", "a_ends", "b_ends", "links_a", "links_b"],
                 )
 
-    return docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("bigint"), "text").mapInArrow(run, ALIGNED)
+    return run
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("bigint"), "text")
+
+
+def align(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): both token sequences, the groups and the links.
+
+    ``a_ids`` and ``b_ids`` are the tokens of space+text; a group ends before the token numbers ``a_ends[k]`` and
+    ``b_ends[k]``; ``links_a[k]`` and ``links_b[k]`` are two tokens whose bytes overlap, by ``a`` and then ``b``. Texts
+    that are null, empty, or not given back by either tokenizer's bytes have empty arrays. Repeated rows and null
+    doc_ids are rows like others; ``key`` tells rows apart. Other columns are ignored. An empty table gives no rows.
+    """
+    return keyed(docs).mapInArrow(aligner(byte_bpe, pieces), ALIGNED)
 
 
 class Numbers:
@@ -213,43 +225,45 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 DIGEST = "key bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, times array<int>"
 
 
-def digest(aligned: DataFrame) -> DataFrame:
-    """Counts of each row, the hash of its groups, and its linked id pairs (a << 32 | b) with how often they are linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
-        for batch in batches:
-            n = batch.num_rows
-            (a, of_a), (b, of_b), (end_a, of_g), (end_b, _), (link_a, of_l), (link_b, _) = (
-                column(batch, c) for c in ("a_ids", "b_ids", "a_ends", "b_ends", "links_a", "links_b")
-            )
-            row_of_group, row_of_link = np.repeat(np.arange(n), np.diff(of_g)), np.repeat(np.arange(n), np.diff(of_l))
-            end_a, end_b = end_a + of_a[row_of_group], end_b + of_b[row_of_group]
-            # A token stands after all B tokens of earlier groups, a B token after all A tokens up to its group.
-            sizes_a, sizes_b = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
-            place_a = np.arange(len(a)) + np.repeat(end_b - sizes_b, sizes_a)
-            place_b = np.arange(len(b)) + np.repeat(end_a, sizes_b)
-            ids, separator = np.empty(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
-            ids[place_a], ids[place_b] = a, b
-            separator[place_a[end_a - 1]], separator[place_b[end_b - 1]] = 1, 2
-            text, after = numbers.text(ids, separator)
-            edges = np.concatenate([[0], after])[of_a + of_b]
-            hashes = [hashlib.sha256(text[lo : hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
-            pair = a[link_a + of_a[row_of_link]] << 32 | b[link_b + of_b[row_of_link]]
-            order = np.lexsort((pair, row_of_link))
-            pair, row = pair[order], row_of_link[order]
-            new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])]) if len(pair) else np.zeros(0, bool))
-            of_p = np.searchsorted(row[new], np.arange(n + 1))
-            times = np.diff(np.concatenate([new, [len(pair)]]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), *[pa.array(np.diff(x)) for x in (of_a, of_b, of_g, of_l)], pa.array(hashes, pa.string()),
-                    pa.ListArray.from_arrays(pa.array(of_p.astype(np.int32)), pa.array(pair[new])), lists(of_p, times),
-                ],
-                ["key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
-            )
-
-    return aligned.mapInArrow(run, DIGEST)
+def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each row of ``align``, the hash of its groups, and its linked id pairs (a << 32 | b) with how often they are linked."""
+    numbers = Numbers()
+    for batch in batches:
+        n = batch.num_rows
+        (a, of_a), (b, of_b), (end_a, of_g), (end_b, _), (link_a, of_l), (link_b, _) = (
+            column(batch, c) for c in ("a_ids", "b_ids", "a_ends", "b_ends", "links_a", "links_b")
+        )
+        row_of_group, row_of_link = np.repeat(np.arange(n), np.diff(of_g)), np.repeat(np.arange(n), np.diff(of_l))
+        end_a, end_b = end_a + of_a[row_of_group], end_b + of_b[row_of_group]
+        # A token stands after all B tokens of earlier groups, a B token after all A tokens up to its group.
+        sizes_a, sizes_b = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
+        place_a = np.arange(len(a)) + np.repeat(end_b - sizes_b, sizes_a)
+        place_b = np.arange(len(b)) + np.repeat(end_a, sizes_b)
+        ids, separator = np.empty(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
+        ids[place_a], ids[place_b] = a, b
+        separator[place_a[end_a - 1]], separator[place_b[end_b - 1]] = 1, 2
+        text, after = numbers.text(ids, separator)
+        edges = np.concatenate([[0], after])[of_a + of_b]
+        hashes = [hashlib.sha256(text[lo : hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        pair = a[link_a + of_a[row_of_link]] << 32 | b[link_b + of_b[row_of_link]]
+        order = np.lexsort((pair, row_of_link))
+        pair, row = pair[order], row_of_link[order]
+        new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])]) if len(pair) else np.zeros(0, bool))
+        of_p = np.searchsorted(row[new], np.arange(n + 1))
+        times = np.diff(np.concatenate([new, [len(pair)]]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), batch.column(1), *[pa.array(np.diff(x)) for x in (of_a, of_b, of_g, of_l)], pa.array(hashes, pa.string()),
+                pa.ListArray.from_arrays(pa.array(of_p.astype(np.int32)), pa.array(pair[new])), lists(of_p, times),
+            ],
+            ["key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
+        )
+
+
+def digest(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> DataFrame:
+    """``digested`` of ``align`` in one task: token lists do not pass through the JVM, which would gather large batches."""
+    align_batches = aligner(byte_bpe, pieces)
+    return keyed(docs).mapInArrow(lambda batches: digested(align_batches(batches)), DIGEST)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -301,5 +315,5 @@ def pair_sums(rows: DataFrame, frequent: int | None = None) -> DataFrame:
 
 def compare_tokenizers(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, frequent: int | None = None) -> DataFrame:
     """One row per row of ``docs``: token, group and link counts, and how its links' id pairs stand in the corpus."""
-    rows = materialise(digest(align(docs, byte_bpe, pieces)), "aligned")
+    rows = materialise(digest(docs, byte_bpe, pieces), "aligned")
     return pair_sums(rows, frequent).drop("key")
