@@ -10,14 +10,17 @@ number of the most frequent pairs goes to every task, the other pairs are joined
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,41 +37,37 @@ LANE_TOKENS = 256
 SEARCH = 32
 #: Pairs whose counts are sent to every task: 17 bytes each, so about 4 MB at any size of the corpus.
 FREQUENT = 1 << 18
-#: Words whose tokens a task remembers.
-REMEMBERED = 1 << 16
-#: Texts of these characters only are cut into words here; all Unicode versions agree on their classes.
-PLAIN = regex.compile(r"[\t\n\r -~¡-ȳ]*")
+#: Texts of these characters only go through the faster library; all Unicode versions agree on their classes.
+PLAIN = re.compile("[\t\n\r -~¡-ȳ‐-‧‰-⁞€]*")
+
+
+def byte_vocabulary(text: str) -> tuple[list[bytes], dict[bytes, int]]:
+    """The bytes of each id of a byte-level vocabulary file, and its ids by bytes without the special tokens."""
+    parsed = json.loads(text)
+    # Byte-level names: printable bytes stand for themselves, the others for the characters from U+0100 on.
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    back = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    ranks = {bytes([back[c] for c in name]): i for name, i in parsed["model"]["vocab"].items() if all(c in back for c in name)}
+    special = {t["id"]: t["content"].encode() for t in parsed["added_tokens"]}
+    names = {i: name for name, i in ranks.items()} | special
+    return [names.get(i, b"") for i in range(max(names) + 1)], {name: i for name, i in ranks.items() if i not in special}
 
 
 class ByteTokens:
-    """Token ids of the byte-level vocabulary; tokens never cross the words that its pattern cuts."""
-
-    def __init__(self, vocabulary: str) -> None:
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words, self.known = regex.compile(PATTERN), {}
-        names = self.tokenizer.get_vocab(with_added_tokens=True)
-        # Byte-level names: printable bytes stand for themselves, the others for the characters from U+0100 on.
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        back = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        self.bytes = [b""] * (max(names.values()) + 1)
-        for name, i in names.items():
-            self.bytes[i] = bytes(back[c] for c in name) if all(c in back for c in name) else name.encode()
+    """Token ids of the byte-level vocabulary, whose ids rise in the order of its merges."""
+
+    def __init__(self, vocabulary: str, ranks: dict[bytes, int]) -> None:
+        self.vocabulary, self.slow = vocabulary, None
+        self.fast = tiktoken.Encoding("aligned", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in texts]
-        plain = [i for i, t in enumerate(texts) if PLAIN.fullmatch(t)]
-        rest = sorted(set(range(len(texts))) - set(plain))
-        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        cut = [self.words.findall(texts[i]) for i in plain]
-        new = list({w for words in cut for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({w for words in cut for w in words})
-        self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        for i, words in zip(plain, cut, strict=True):
-            out[i] = [t for w in words for t in self.known[w]]
+        out = [self.fast.encode_ordinary(t) if PLAIN.fullmatch(t) else None for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        if rest and self.slow is None:
+            self.slow = Tokenizer.from_str(self.vocabulary)
+            self.slow.encode_special_tokens = True  # their strings in a text are ordinary text
+        for i in rest:
+            out[i] = self.slow.encode(texts[i], add_special_tokens=False).ids
         return out
 
 
@@ -141,11 +140,12 @@ Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 def aligner(byte_bpe: str, pieces: str) -> Batches:
     """The function that turns batches of key, doc_id and text into those of ``align``, each of about a megabyte of text."""
     vocabulary, model = Path(byte_bpe).read_text(), Path(pieces).read_bytes()  # two megabytes, sent with the tasks
+    bytes_a, ranks = byte_vocabulary(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        side_a, side_b = ByteTokens(vocabulary), PieceTokens(model)
-        size_a, size_b = (np.array([len(x) for x in side.bytes]) for side in (side_a, side_b))
+        side_a, side_b = ByteTokens(vocabulary, ranks), PieceTokens(model)
+        size_a, size_b = (np.array([len(x) for x in side]) for side in (bytes_a, side_b.bytes))
         for batch in batches:
             texts = X.texts_of(batch.column(2))
             for lo, hi in X.chunks(texts):
@@ -153,11 +153,11 @@ def aligner(byte_bpe: str, pieces: str) -> Batches:
                 both = []
                 for text, a, b in zip(plain, side_a.encode([" " + t for t in plain]), side_b.encode(plain), strict=True):
                     want = b" " + text.encode()
-                    whole = text and b"".join([side_a.bytes[i] for i in a]) == want == b"".join([side_b.bytes[i] for i in b])
+                    whole = text and b"".join([bytes_a[i] for i in a]) == want == b"".join([side_b.bytes[i] for i in b])
                     both.append((a, b) if whole else ([], []))
                 starts = np.zeros((len(both) + 1, 2), np.int64)
                 starts[1:] = np.cumsum([[len(a), len(b)] for a, b in both], axis=0)
-                a, b = (np.array([i for pair in both for i in pair[k]], np.int64) for k in (0, 1))
+                a, b = (np.fromiter(chain.from_iterable(pair[k] for pair in both), np.int64, starts[-1, k]) for k in (0, 1))
                 link_a, link_b, cut_a, cut_b = merge(np.cumsum(size_a[a]), np.cumsum(size_b[b]), starts)
                 order = np.argsort(link_a * (len(b) + 1) + link_b)
                 link_a, link_b = link_a[order], link_b[order]
@@ -202,10 +202,12 @@ class Numbers:
 
     def reach(self, n: int) -> None:
         if 3 * n > len(self.sizes):
-            names = [str(i).encode() + bytes([s]) for i in range(2 * n) for s in self.SEPARATORS]
-            self.sizes = np.array([len(x) for x in names])
-            width = int(self.sizes.max())
-            self.rows = np.frombuffer(b"".join(x.ljust(width) for x in names), np.uint8).reshape(-1, width)
+            names = np.array([b"%d" % i for i in range(max(n, 1 << 16))])
+            digits = np.char.str_len(names)
+            rows = np.zeros((len(names), 3, names.itemsize + 1), np.uint8)
+            rows[:, :, :-1] = np.frombuffer(names.tobytes(), np.uint8).reshape(len(names), 1, -1)
+            rows[np.arange(len(names)), :, digits] = np.frombuffer(self.SEPARATORS, np.uint8)
+            self.rows, self.sizes = rows.reshape(-1, rows.shape[2]), np.repeat(digits + 1, 3)
 
     def text(self, ids: np.ndarray, separator: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The ids as text, and the offset after each."""
