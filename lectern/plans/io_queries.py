@@ -108,6 +108,65 @@ def results_round_trip(spark, d):
     return R.result_segments(R.read_results(spark, path))
 
 
+# Tokens are a part name's words in lower case, 400 ms apart and 50 ms a character; the final text was rewritten.
+_ALIGNED = """WITH RECURSIVE p AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS w,
+  '<' || replace(replace(replace(p_name, 'a', 'oo'), 'i', ''), ' ', ', ') || '.' AS text FROM part),
+tok AS (SELECT id, unnest(w) AS t, unnest(range(len(w))) AS k FROM p),
+heard AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k, c) - 1 AS i, substring(t, c + 1, 1) AS a, k * 400 + c * 50 AS s
+  FROM (SELECT id, t, k, unnest(range(length(t))) AS c FROM tok)),
+said AS (SELECT id, unnest(range(length(text))) AS j, text FROM p),
+eq AS (SELECT h.id, i, j, i - row_number() OVER (PARTITION BY h.id, j - i ORDER BY i) AS run
+  FROM heard h JOIN said s ON h.id = s.id AND h.a = substring(s.text, j + 1, 1)),
+m AS (SELECT id, i, j, max(i) OVER (PARTITION BY id, j - i, run) - i + 1 AS n FROM eq),
+size AS (SELECT p.id, (SELECT count(*) FROM heard h WHERE h.id = p.id) AS na, length(text) AS nb FROM p),
+b AS (
+  SELECT s.id, 0::BIGINT AS a0, na AS a1, 0::BIGINT AS b0, nb AS b1, max({'n': least(n, na - i, nb - j), 'i': -i, 'j': -j}) AS best
+  FROM size s JOIN m ON m.id = s.id GROUP BY ALL
+  UNION ALL
+  SELECT c.id, c.a0, c.a1, c.b0, c.b1, max({'n': least(n, c.a1 - m.i, c.b1 - m.j), 'i': -m.i, 'j': -m.j})
+  FROM (SELECT id, unnest([{'a0': a0, 'a1': -best.i, 'b0': b0, 'b1': -best.j},
+    {'a0': best.n - best.i, 'a1': a1, 'b0': best.n - best.j, 'b1': b1}], recursive := true) FROM b) c
+  JOIN m ON m.id = c.id AND m.i >= c.a0 AND m.i < c.a1 AND m.j >= c.b0 AND m.j < c.b1 GROUP BY ALL
+),
+blocks AS (SELECT id, -best.i AS i, -best.j AS j, best.n AS n FROM b UNION ALL SELECT id, na, nb, 0 FROM size),
+gaps AS (SELECT id, i, j, n, lag(i + n, 1, 0) OVER (PARTITION BY id ORDER BY j, n DESC) AS i1, lag(j + n, 1, 0) OVER (PARTITION BY id ORDER BY j, n DESC) AS j1 FROM blocks),
+src AS (SELECT id, i + k AS h, j + k AS j FROM (SELECT id, i, j, unnest(range(n)) AS k FROM gaps)
+  UNION ALL SELECT id, i1 + least(i - i1 - 1, floor((k + 0.5) * (i - i1) / (j - j1))::BIGINT), j1 + k FROM (SELECT *, unnest(range(j - j1)) AS k FROM gaps WHERE i > i1)),
+t AS (SELECT s.id, s.j, h.s, h.s + 50 AS e FROM said s LEFT JOIN src ON src.id = s.id AND src.j = s.j LEFT JOIN heard h ON h.id = s.id AND h.i = src.h),
+f AS (SELECT id, j, s, e, last_value(e IGNORE NULLS) OVER (PARTITION BY id ORDER BY j) AS before, first_value(s IGNORE NULLS) OVER (PARTITION BY id ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM t)
+SELECT id AS rec_id, count(*) AS n, string_agg(coalesce(s, before, after, 0) || '-' || coalesce(e, before, after, 0), ' ' ORDER BY j) AS times FROM f GROUP BY id"""
+
+
+def _token_results(spark, d):
+    words = F.split(F.lower("p_name"), " ")
+    token = F.transform(words, lambda w, k: F.struct(
+        w.alias("token"), (k * 0.4).alias("start_time"), (k * 0.4 + F.length(w) * 0.05).alias("end_time")
+    ))
+    text = F.replace(F.replace(F.replace("p_name", F.lit("a"), F.lit("oo")), F.lit("i"), F.lit("")), F.lit(" "), F.lit(", "))
+    return B.table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("rec_id"), F.concat(F.lit("<"), text, F.lit(".")).alias("text"), token.alias("timestamps")
+    )
+
+
+@query(_ALIGNED)
+def aligned_chars(spark, d):
+    """Times of the characters of rewritten names, aligned to the names' words."""
+    chars = R.aligned_chars(_token_results(spark, d))
+    pair = F.concat_ws("-", "start_ms", "end_ms")
+    return chars.groupBy(F.col("rec_id").cast("bigint").alias("rec_id")).agg(
+        F.count("*").alias("n"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", pair.alias("t")))), lambda x: x["t"]), " ").alias("times"),
+    )
+
+
+@query("""SELECT p_partkey::VARCHAR AS rec_id, 0 AS seg_no, '说话人0' AS speaker, '<' || replace(replace(replace(p_name, 'a', 'oo'), 'i', ''), ' ', ', ') || '.' AS text FROM part""")
+def token_results(spark, d):
+    """Results that carry only token times, as JSON, to segments: the names hold one sentence and no pause."""
+    path = scratch_path(spark, "tokens")
+    _token_results(spark, d).write.json(path)
+    return R.result_segments(R.read_results(spark, path)).select("rec_id", "seg_no", "speaker", "text")
+
+
 @query("""SELECT count(*) AS n, sum(length(trim(text, ' ' || chr(10))))::BIGINT AS chars FROM documents""")
 def documents_round_trip(spark, d):
     """Document texts as text files, read back whole."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions import text as T
+from lectern.functions.alignment import align_chars
+from lectern.operators.cues import char_segments
 from lectern.operators.scoring import last_per_uid
 
 # Accepted extensions and own temporary names.
@@ -166,12 +168,15 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def result_segments(results: DataFrame) -> DataFrame:
-    """Segments of each result: its sentences, or one segment with the whole text at 0..0.
+    """Segments of each result: its sentences; else those that its token times give; else its whole text at 0..0.
 
-    Results that carry only token times go through ``token_chars`` and ``char_segments``.
+    A result with token times needs a text and at least one character in its tokens.
     """
-    has = F.size(F.coalesce("sentence_info", F.array().cast(
+    plain = results.select("rec_id", "text", "sentence_info", "timestamps")
+    sentences = F.size(F.coalesce("sentence_info", F.array().cast(
         "array<struct<text:string,start:bigint,end:bigint,spk:string>>"))) > 0
+    heard, _ = token_times("timestamps")
+    tokens = ~sentences & (F.length(T.strip_tags("text")) > 0) & F.coalesce(F.length(heard) > 0, F.lit(False))
     zero = F.lit(0).cast("bigint")
     whole = F.array(
         F.struct(
@@ -179,33 +184,55 @@ def result_segments(results: DataFrame) -> DataFrame:
             F.lit("0").alias("spk"),
         )
     )
-    rows = results.select(
-        "rec_id", F.posexplode(F.when(has, F.col("sentence_info")).otherwise(whole)).alias("seg_no", "s")
+    rows = plain.filter(~tokens).select(
+        "rec_id", F.posexplode(F.when(sentences, F.col("sentence_info")).otherwise(whole)).alias("seg_no", "s")
     )
-    return rows.select(
+    given = rows.select(
         "rec_id", "seg_no", T.speaker_label("s.spk").alias("speaker"),
         T.strip_tags("s.text").alias("text"),
         F.coalesce("s.start", zero).alias("start_ms"), F.coalesce("s.end", zero).alias("end_ms"),
     )
+    # A segment's number follows the order in its result, from 0.
+    timed = char_segments(aligned_chars(plain.filter(tokens))).select(
+        "rec_id", (F.col("seg_no") - F.min("seg_no").over(Window.partitionBy("rec_id"))).cast("int").alias("seg_no"),
+        T.speaker_label(F.lit("0")).alias("speaker"), "text", "start_ms", "end_ms",
+    )
+    return given.unionByName(timed)
+
+
+def token_times(timestamps: str) -> tuple[Column, Column]:
+    """What the tokens say, and the (start, end) in ms of each of its characters: a token's span split evenly."""
+    tokens = F.coalesce(F.col(timestamps), F.array().cast("array<struct<token:string,start_time:double,end_time:double>>"))
+
+    def spread(t: Column) -> Column:
+        n = F.coalesce(F.length(t["token"]), F.lit(0))
+        t0, t1 = (F.coalesce(t[c], F.lit(0.0)) * 1000 for c in ("start_time", "end_time"))
+        edge = lambda i: (t0 + (t1 - t0) * i / n).cast("bigint")
+        each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(edge(i).alias("start"), edge(i + 1).alias("end")))
+        return F.when(n > 0, each).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+
+    return F.array_join(F.transform(tokens, lambda t: F.coalesce(t["token"], F.lit(""))), ""), F.flatten(F.transform(tokens, spread))
+
+
+def aligned_chars(results: DataFrame) -> DataFrame:
+    """(rec_id, pos, ch, start_ms, end_ms): the final text's characters with the times of the tokens they align to."""
+    heard, times = token_times("timestamps")
+    rows = results.select("rec_id", T.strip_tags("text").alias("text"), heard.alias("heard"), times.alias("times"))
+    timed = rows.select("rec_id", "text", align_chars(F.col("text"), F.col("heard"), F.col("times")).alias("times"))
+    each = timed.select("rec_id", "text", F.posexplode("times").alias("pos", "t"))
+    return each.select(
+        "rec_id", F.col("pos").cast("bigint").alias("pos"), F.substring("text", F.col("pos") + 1, F.lit(1)).alias("ch"),
+        F.col("t.start").alias("start_ms"), F.col("t.end").alias("end_ms"),
+    )
 
 
 def token_chars(results: DataFrame) -> DataFrame:
     """Token times to characters: (rec_id, pos, ch, start_ms, end_ms), a token's span split evenly."""
-    toks = results.select("rec_id", F.posexplode("timestamps").alias("tok", "t"))
-    t0 = F.coalesce(F.col("t.start_time"), F.lit(0.0)) * 1000
-    t1 = F.coalesce(F.col("t.end_time"), F.lit(0.0)) * 1000
-    rows = toks.select(
-        "rec_id", "tok", t0.alias("t0"), t1.alias("t1"),
-        F.length("t.token").alias("n"), F.posexplode(F.split("t.token", "")).alias("i", "ch"),
-    ).filter("ch <> ''")
-    span = F.col("t1") - F.col("t0")
-    w = Window.partitionBy("rec_id").orderBy("tok", "i")  # one recogniser result, one input row
-    return rows.select(
-        "rec_id",
-        (F.row_number().over(w) - 1).cast("bigint").alias("pos"),
-        "ch",
-        (F.col("t0") + span * F.col("i") / F.col("n")).cast("bigint").alias("start_ms"),
-        (F.col("t0") + span * (F.col("i") + 1) / F.col("n")).cast("bigint").alias("end_ms"),
+    heard, times = token_times("timestamps")
+    each = results.select("rec_id", heard.alias("heard"), F.posexplode(times).alias("pos", "t"))
+    return each.select(
+        "rec_id", F.col("pos").cast("bigint").alias("pos"), F.substring("heard", F.col("pos") + 1, F.lit(1)).alias("ch"),
+        F.col("t.start").alias("start_ms"), F.col("t.end").alias("end_ms"),
     )
 
 

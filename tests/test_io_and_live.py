@@ -1,8 +1,12 @@
+import difflib
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import alignment
 from lectern.operators import datasets as A
 from lectern.operators import dialogue as D
 from lectern.operators import jobs as J
@@ -173,3 +177,67 @@ def test_samples_are_valid_json(spark, tmp_path):
     line = next((tmp_path / "s").glob("part-*")).read_text(encoding="utf-8").strip()
     assert "你好" in line and json.loads(line)["speech_length"] == 371
     assert s.filter("error is not null").first().error == "WAV not found: b.wav"
+
+
+def difflib_times(text, heard, times):
+    """The plain form: the standard library's blocks, then filling forward and backward."""
+    out = [None] * len(text)
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, heard, text, autojunk=False).get_opcodes():
+        for k in range(j2 - j1):
+            if tag == "equal":
+                out[j1 + k] = times[i1 + k]
+            elif tag == "replace":
+                out[j1 + k] = times[i1 + min(i2 - i1 - 1, int((k + 0.5) * (i2 - i1) / (j2 - j1)))]
+    known = [t for t in out if t is not None]
+    last = None
+    for k, t in enumerate(out):
+        if t is None:
+            out[k] = (last, last) if last is not None else (known[0][0],) * 2 if known else (0, 0)
+        else:
+            last = t[1]
+    return out
+
+
+@pytest.mark.parametrize("cells", [0, 1 << 12])
+def test_aligned_chars_against_the_standard_library(spark, monkeypatch, cells):
+    monkeypatch.setattr(alignment, "CELLS", cells)
+    rng = random.Random(5)
+    pairs = [("", ""), ("abc", ""), ("", "abc"), ("!a", "a"), ("..", "xy"), ("F幺零🙂。", "m二零🙂"), ("aaaa", "aaaaaaa"), ("abab" * 9, "baba" * 7)]
+    for _ in range(60):
+        heard = "".join(rng.choice("ab cd") for _ in range(rng.randrange(60)))
+        text = "".join(rng.choice([c, c, c, c + ",", "", "x"]) for c in heard)
+        pairs.append((text, heard))
+    for text, heard in pairs:
+        times = [(10 * i, 10 * i + 7) for i in range(len(heard))]
+        got = [
+            (0, 0) if s["kind"] == alignment.NONE else times[s["at"]] if s["kind"] == alignment.OWN else (times[s["at"]][s["kind"] == alignment.AFTER],) * 2
+            for s in alignment.sources_of(text, heard)
+        ]
+        assert got == difflib_times(text, heard, times), (text, heard)
+
+
+def test_aligned_chars_of_results(spark):
+    token = lambda s, a, b: (s, a, b)
+    rows = [
+        ("r", "<|zh|>Hi, there. 🙂you", None, [token("hi", 1.0, 2.0), token("", 2.0, 2.1), token("there", 2.0, 2.5), token("🙂you", 9.0, 9.4)]),
+        ("none", "text", None, [token("", 0.0, 1.0), token(None, 0.0, 1.0)]), ("blank", " ", None, [token("a", 0.0, 1.0)]), ("null", None, None, [token("a", 0.0, 1.0)]),
+    ]
+    res = spark.createDataFrame([(i, t, None, ts) for i, t, _, ts in rows], R.schemas.RESULTS)
+    chars = R.aligned_chars(res.filter("rec_id = 'r'")).orderBy("pos").collect()
+    text = "Hi, there. 🙂you"
+    heard = "hithere🙂you"
+    times = [(1000, 1500), (1500, 2000), *[(2000 + 100 * i, 2100 + 100 * i) for i in range(5)], *[(9000 + 100 * i, 9100 + 100 * i) for i in range(4)]]
+    assert "".join(c.ch for c in chars) == text
+    assert [(c.start_ms, c.end_ms) for c in chars] == difflib_times(text, heard, times)
+    segments = R.result_segments(res).orderBy("rec_id", "seg_no").collect()
+    assert [(s.rec_id, s.seg_no, s.text, s.start_ms, s.end_ms) for s in segments] == [
+        ("blank", 0, "", 0, 0), ("none", 0, "text", 0, 0), ("null", 0, "", 0, 0), ("r", 0, "Hi, there.", 1000, 2500), ("r", 1, "🙂you", 9000, 9400),
+    ]
+
+
+def test_alignment_of_a_long_text_is_quick():
+    rng = random.Random(9)
+    heard = "".join(rng.choice("abcdefghijklmnop ") for _ in range(60_000))
+    text = "".join(c.upper() if k % 997 == 0 else c for k, c in enumerate(heard))
+    start = time.process_time()
+    assert len(alignment.sources_of(text, heard)) == 60_000 and time.process_time() - start < 60
