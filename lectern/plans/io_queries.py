@@ -277,6 +277,16 @@ SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY last_seq)
 _FINALS = _PARTS + """SELECT session_id, part AS utt_no, max(seq) AS seq, string_agg(text, '' ORDER BY seq) AS text FROM p GROUP BY 1, 2 HAVING bool_or(fin)"""
 
 
+#: Events of a user lie hours apart; none of these silences ends a part, as in the SQL twins.
+YEAR_MS = 366 * 24 * 3600 * 1000
+
+
+def _event_stream(spark, d):
+    """The events as a stream, and a fragment a day after the last of them, so that all are released."""
+    end = B.table(spark, d, "events").agg(F.date_add(F.max("ts"), 1).cast("timestamp") + F.expr("INTERVAL 1 DAY")).first()[0]
+    return V.close_at(B.fragments_of(B.table_stream(spark, d, "events")), end)
+
+
 @query(_CHUNKED)
 def fixed_count_windows(spark, d):
     return V.rechunk_batch(B.fragments_of(B.table(spark, d, "events")), 4)
@@ -284,7 +294,7 @@ def fixed_count_windows(spark, d):
 
 @query(_CHUNKED)
 def fixed_count_windows_stream(spark, d):
-    stream = V.rechunk_stream(B.fragments_of(B.table_stream(spark, d, "events")), 4)
+    stream = V.rechunk_stream(_event_stream(spark, d), 4, YEAR_MS, 2 * YEAR_MS)
     return V.run_available(stream, spark, "chunks").drop("batch")
 
 
@@ -295,13 +305,13 @@ def caption_finals(spark, d):
 
 @query(_FINALS)
 def caption_finals_stream(spark, d):
-    stream = V.accumulate_captions(B.fragments_of(B.table_stream(spark, d, "events")))
+    stream = V.accumulate_captions(_event_stream(spark, d), YEAR_MS, 2 * YEAR_MS)
     return V.stream_finals(V.run_available(stream, spark, "captions")).select("session_id", "utt_no", "seq", "text")
 
 
 @query("SELECT user_id AS session_id, event_id AS seq, substring(event_type, 1, 1) AS text FROM events")
 def caption_partials_stream(spark, d):
-    stream = V.accumulate_captions(B.fragments_of(B.table_stream(spark, d, "events")))
+    stream = V.accumulate_captions(_event_stream(spark, d), YEAR_MS, 2 * YEAR_MS)
     return V.stream_partials(V.run_available(stream, spark, "captions")).select("session_id", "seq", "text")
 
 

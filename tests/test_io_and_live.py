@@ -1,5 +1,6 @@
 import difflib
 import json
+import os
 import random
 import time
 
@@ -154,20 +155,60 @@ def _fragments(spark):
     return spark.createDataFrame(rows, "session_id string, seq bigint, ts string, text string, is_final boolean").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@pytest.mark.parametrize("files", [1, 4])
-def test_streams_equal_their_batch_twins(spark, tmp_path, files):
-    df = _fragments(spark)
-    src = tmp_path / "in"
-    # Files are read oldest first, so each later file holds later fragments.
-    for i in range(files):
-        lo, hi = i * 60 // files, (i + 1) * 60 // files
-        df.filter((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1).write.mode("append").json(str(src))
-    stream = R.read_fragments(spark, str(src), "json", 1)
-    finals = V.stream_finals(V.run_available(V.accumulate_captions(stream), spark, "t"))
-    got = sorted(tuple(r) for r in finals.select("session_id", "utt_no", "seq", "text").collect())
-    assert got == sorted(tuple(r) for r in V.caption_finals(df).collect())
-    chunks = V.run_available(V.rechunk_stream(R.read_fragments(spark, str(src), "json", 1), 3), spark, "t").drop("batch")
-    assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, V.rechunk_batch(df, 3).collect()))
+def _spread(df, path, triggers, seed):
+    """Write the fragments to a file for each trigger, dealt at random, then one that closes all sessions."""
+    rows = [r.asDict() | {"ts": r.ts.isoformat()} for r in df.collect()]
+    random.Random(seed).shuffle(rows)
+    path.mkdir()
+    rows = [rows[i::triggers] for i in range(triggers)] + [[{"session_id": "end", "seq": 0, "ts": "2024-01-02T00:00:00", "text": "", "is_final": False}]]
+    for i, part in enumerate(rows):
+        name = path / f"{i}.json"
+        name.write_text("\n".join(json.dumps(r) for r in part))
+        os.utime(name, (1_700_000_000 + i, 1_700_000_000 + i))  # files are read oldest first
+
+
+@pytest.mark.parametrize(("triggers", "idle_ms"), [(1, 366 * 86_400_000), (5, 366 * 86_400_000), (5, 4_000)])
+def test_streams_equal_their_batch_twins(spark, tmp_path, triggers, idle_ms):
+    """In any order of arrival within the watermark's delay, with and without silences."""
+    df = _fragments(spark).filter("seq % 11 not in (3, 4)")
+    _spread(df, tmp_path / "in", triggers, triggers)
+    stream = lambda: R.read_fragments(spark, str(tmp_path / "in"), "json", 1)
+    twin_idle = idle_ms if idle_ms < 10_000 else None
+    captions = V.run_available(V.accumulate_captions(stream(), idle_ms, 10 * idle_ms), spark, "t")
+    got = sorted(tuple(r) for r in V.stream_finals(captions).select("session_id", "utt_no", "seq", "text").collect())
+    want = sorted(tuple(r) for r in V.caption_finals(df, twin_idle).collect())
+    assert got == want and len(set((s, no) for s, no, _, _ in got)) == len(got)
+    chunks = V.run_available(V.rechunk_stream(stream(), 3, idle_ms, 10 * idle_ms), spark, "t").drop("batch")
+    assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, V.rechunk_batch(df, 3, twin_idle).collect()))
+
+
+def test_silences_and_late_fragments(spark, tmp_path):
+    rows = [
+        [("s", 1, "00:00:00", "a", False), ("s", 3, "00:00:02", "c", False)], [("s", 2, "00:00:01", "b", False)], [("s", 4, "01:00:00", "d", True)],
+        [("t", 1, "01:00:01", "", False)], [("s", 9, "00:20:00", "late", False)], [("s", 5, "02:00:00", "e", False)], [("end", 0, "23:00:00", "", False)],
+    ]
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate(rows):
+        name = tmp_path / "in" / f"{i}.json"
+        name.write_text("\n".join(json.dumps({"session_id": s, "seq": q, "ts": f"2024-01-01T{t}", "text": x, "is_final": f}) for s, q, t, x, f in part))
+        os.utime(name, (1_700_000_000 + i, 1_700_000_000 + i))
+    late = []
+    out = V.run_available(
+        V.accumulate_captions(R.read_fragments(spark, str(tmp_path / "in"), "json", 1)), spark, "t", ended=lambda q: late.append(V.late_rows(q))
+    )
+    finals = [(r.utt_no, r.seq, r.text) for r in V.stream_finals(out).filter("session_id = 's'").orderBy("utt_no").collect()]
+    assert finals == [(0, 3, "abc"), (1, 4, "d"), (2, 5, "e")] and late == [1]
+
+
+def test_memory_keeps_the_last_turns_in_any_order(spark, tmp_path):
+    turns = [{"session_id": "s", "turn": i, "role": "user", "content": f"m{i}" if i != 5 else ""} for i in range(40)]
+    random.Random(3).shuffle(turns)
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, turns[k::5])))
+    stream = spark.readStream.schema("session_id string, turn bigint, role string, content string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = V.run_available(V.session_memory(stream, 4), spark, "t", "update").orderBy(F.desc("batch")).first()
+    assert [t["turn"] for t in json.loads(out.history)] == list(range(32, 40))
 
 
 def test_samples_are_valid_json(spark, tmp_path):
