@@ -3,7 +3,7 @@
 ``Window.partitionBy(recording)`` sends a whole recording to one task, so a recording that
 holds a third of the corpus would hang the job. Here a recording is cut into shards of bounded
 media time. Each shard is windowed on its own; what crosses a shard border comes from a summary
-with one row per shard, which a map-side aggregate builds.
+with one row per shard, made from the same shuffled rows, so the input is evaluated once.
 """
 
 from __future__ import annotations
@@ -37,11 +37,13 @@ def time_shard(time_col: str, width: int = SHARD_MS) -> Column:
 def running(
     df: DataFrame, keys: list[str], order: list[str], shard: Column, specs: list[Running]
 ) -> DataFrame:
-    """Add every spec of ``specs``; ``order`` must be unique per key and agree with ``shard``."""
+    """Add every spec of ``specs``; ``order`` must be unique per key and agree with ``shard``.
+
+    One shuffle on (keys, shard) serves the windows and the summary: chains of calls read their source once.
+    """
     kept = df.columns
-    df = df.withColumn("_shard", shard)
-    for i, s in enumerate(specs):
-        df = df.withColumn(f"_v{i}", s.value)
+    values = [s.value.alias(f"_v{i}") for i, s in enumerate(specs)]
+    df = df.withColumn("_shard", shard).select("*", *values).repartition(*keys, "_shard")
     within = Window.partitionBy(*keys, "_shard").orderBy(*order)
     upto, onward = (
         within.rowsBetween(Window.unboundedPreceding, 0),
@@ -86,9 +88,12 @@ def running(
         carried.append(link.alias(carry))
         final.append(both(F.col(f"_h{i}"), F.col(carry)).alias(s.alias))
 
-    borders = (
-        df.groupBy(*keys, "_shard").agg(*summary).select(*keys, "_shard", *carried)
-    )
+    # The summary refers to all columns: with fewer its shuffle would differ from that of the windows and be made anew.
+    # The join's keys are aggregates, through which no filter on them passes down, for the same reason.
+    whole = F.max(F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t])).alias("_row")
+    place = [F.first(c).alias(c) for c in (*keys, "_shard")]
+    grouped = df.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate((*keys, "_shard"))])
+    borders = grouped.agg(*summary, whole, *place).filter("_row is not null").select(*keys, "_shard", *carried)
     return (
         df.select("*", *local)
         .join(borders, [*keys, "_shard"], "left")

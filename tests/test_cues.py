@@ -62,6 +62,18 @@ def test_sharded_windows_equal_plain_windows(spark):
     assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, want.select(*names).collect()))
 
 
+def test_chained_windows_read_their_source_once(spark, tmp_path):
+    rows = [(r[0], r[1], r[2]) for r in _random_cues(4)]
+    spark.createDataFrame(rows, "rec string, id long, at long").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    shard = F.floor(F.col("at") / 3000)
+    for name in ("a", "b", "c"):
+        df = running(df, ["rec"], ["at", "id"], shard, [Running(name, "sum", F.col("id")), Running(f"{name}_last", "lag", F.col("at"))])
+    assert len(df.collect()) == len(rows)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1
+
+
 def test_global_rank(spark):
     df = spark.range(500).withColumn("k", F.md5(F.col("id").cast("string")))
     ranked = global_rank(df, ["k"], F.conv(F.substring("k", 1, 1), 16, 10).cast("int"))
