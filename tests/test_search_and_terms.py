@@ -31,7 +31,12 @@ def _ratio(a, b):
 
 
 def _partial(w, t):
-    short, long = (w, t) if len(w) <= len(t) else (t, w)
+    if len(w) == len(t):
+        return max(_one_way(w, t), _one_way(t, w))
+    return _one_way(*sorted((w, t), key=len))
+
+
+def _one_way(short, long):
     if not short:
         return 0.0
     m, n = len(short), len(long)
@@ -64,6 +69,14 @@ def test_fuzzy_search_equals_brute_force(spark, monkeypatch, threshold, blocks):
     assert got == want
 
 
+def test_equal_lengths_are_compared_both_ways(spark):
+    for a, b in (("abcY", "aXbc"), ("aXbc", "abcY")):
+        assert K.partial_ratio(a, b) == _partial(a, b) == pytest.approx(600 / 7)
+        segments = spark.createDataFrame([(1, a)], "id long, text string")
+        hit = K.search_keywords(segments, spark.createDataFrame([(b,)], "keyword string"), ["id"], 80).first()
+        assert (hit.match_type, hit.similarity, hit.swapped) == ("fuzzy", 85.7, False)
+
+
 def test_anchor_ratios():
     assert round(K.indel_ratio("蓝心妹", "蓝心湄"), 1) == 66.7
     assert K.indel_ratio("剪辑", "剪映") == 50.0
