@@ -238,24 +238,21 @@ def collapse_repeats(rows: DataFrame, keys: list[str], order: list[str], shard:
 # --------------------------------------------------------------------------- sequential folds
 
 
-def _run_ids(cues: DataFrame, starts_run: Column, width: int) -> DataFrame:
+def _run_ids(cues: DataFrame, starts_run: Column, order: list[str], shard: Column) -> DataFrame:
     """Add ``run_no``; rows where ``starts_run`` is true or NULL begin a run."""
     flagged = cues.withColumn("_new", F.coalesce(starts_run, F.lit(True)).cast("int"))
-    return running(
-        flagged, ["rec_id"], ORDER, time_shard("start_ms", width),
-        [Running("run_no", "sum", F.col("_new"))],
-    )
+    return running(flagged, ["rec_id"], order, shard, [Running("run_no", "sum", F.col("_new"))])
 
 
-def _with_previous_bound(cues: DataFrame, min_ms: int, width: int) -> DataFrame:
+def _with_previous_bound(cues: DataFrame, min_ms: int, order: list[str], shard: Column) -> DataFrame:
     """Add ``_bound``: no earlier cue of the recording can end later than this.
 
     With i the rank of a cue, its final end is at most the maximum over j <= i of
     ``max(end_j, start_j + min) + min * (i - j)``. Ranks and maxima are local to a shard; the
     shard borders carry the rank offset and the maximum so far.
     """
-    rows = cues.withColumn("_shard", time_shard("start_ms", width))
-    within = Window.partitionBy("rec_id", "_shard").orderBy(*ORDER)
+    rows = cues.withColumn("_shard", shard)
+    within = Window.partitionBy("rec_id", "_shard").orderBy(*order)
     ranked = rows.withColumn("_i", F.row_number().over(within))
     reach = F.greatest("end_ms", F.col("start_ms") + min_ms) - F.col("_i") * min_ms
     ranked = ranked.withColumn("_reach", reach)
@@ -278,14 +275,18 @@ def _with_previous_bound(cues: DataFrame, min_ms: int, width: int) -> DataFrame:
     )
 
 
-def monotone_times(cues: DataFrame, min_ms: int = MIN_CUE_MS, width: int = SHARD_MS) -> DataFrame:
-    """A cue starts no earlier than the previous cue's final end and lasts at least ``min_ms``.
+def monotone_times(
+    cues: DataFrame, min_ms: int = MIN_CUE_MS, width: int = SHARD_MS, order: list[str] = ORDER, shard: Column | None = None
+) -> DataFrame:
+    """A cue starts no earlier than the previous cue's final end; one that then does not advance lasts ``min_ms``.
 
-    Where a cue starts at or after every possible earlier end, nothing before it matters; the
+    ``order`` is the order of the cues, by default that of their times; another one comes with its ``shard``. Times keep
+    their type, whole or fractional milliseconds. Where a cue starts at or after every possible earlier end, nothing before it matters; the
     fold runs on the stretches between such cues, in parallel.
     """
-    bounded = _with_previous_bound(cues.select("rec_id", "cue_no", "start_ms", "end_ms"), min_ms, width)
-    runs = _run_ids(bounded, F.col("start_ms") >= F.col("_bound"), width)
+    shard = time_shard("start_ms", width) if shard is None else shard
+    bounded = _with_previous_bound(cues.select("rec_id", "cue_no", "start_ms", "end_ms"), min_ms, order, shard)
+    runs = _run_ids(bounded, F.col("start_ms") >= F.col("_bound"), order, shard)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = None, 0
@@ -303,11 +304,12 @@ def monotone_times(cues: DataFrame, min_ms: int = MIN_CUE_MS, width: int = SHARD
                 {"rec_id": pdf.rec_id, "cue_no": pdf.cue_no, "start_ms": starts, "end_ms": ends}
             )
 
-    rec_type = dict(cues.dtypes)["rec_id"]
+    types = dict(cues.dtypes)
+    time = "double" if {types["start_ms"], types["end_ms"]} & {"double", "float"} else "bigint"
     return fold_stream(
         runs.select("rec_id", "run_no", "cue_no", "start_ms", "end_ms"),
-        ["rec_id", "run_no"], ORDER, fold,
-        f"rec_id {rec_type}, cue_no bigint, start_ms bigint, end_ms bigint",
+        ["rec_id", "run_no"], order, fold,
+        f"rec_id {types['rec_id']}, cue_no bigint, start_ms {time}, end_ms {time}",
     )
 
 
@@ -328,7 +330,7 @@ def merge_cues(
         time_shard("start_ms", width),
         [Running("_ps", "lag", F.col("start_ms")), Running("_pe", "lag", F.col("end_ms"))],
     )
-    runs = _run_ids(base, certain, width)
+    runs = _run_ids(base, certain, ORDER, time_shard("start_ms", width))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rec, start, end, texts = None, None, 0, 0, []

@@ -230,3 +230,33 @@ def generate_cues(segments: DataFrame, offset_s: float = 0.0, max_len: int = GRE
         ],
     )
     return ordered.select("rec_id", "cue_no", "start_ms", C.shown_until().alias("end_ms"), "text")
+
+
+def batch_subtitles(segments: DataFrame, durations: DataFrame | None = None, max_len: int = LINE_MAX) -> DataFrame:
+    """Recogniser segments (rec_id, seg_no, text, start_ms, end_ms) to subtitle cues, ready for ``write_srt``.
+
+    Tags go, blank segments too; a segment that does not advance gets a length by its text; the only segment of a
+    recording, at 0..0, lasts as long as the recording where ``durations`` (rec_id, duration_ms) knows it. Lines share a
+    segment's time by their visible characters, and cues follow each other in segment order without overlap. Times are
+    fractional milliseconds. Columns: rec_id, cue_no, start_ms, end_ms, text.
+    """
+    zero = F.lit(0.0)
+    times = [F.coalesce(F.col(c).cast("double"), zero).alias(c) for c in ("start_ms", "end_ms")]
+    segs = segments.select("rec_id", "seg_no", T.strip_tags("text").alias("text"), *times).filter("text <> ''")
+    if durations is not None:
+        alone = segs.groupBy("rec_id").agg(F.count("*").alias("_n")).filter("_n = 1")
+        known = durations.select("rec_id", F.col("duration_ms").cast("double").alias("_duration")).join(alone, "rec_id", "left_semi")
+        whole = (F.col("start_ms") == 0) & (F.col("end_ms") == 0)
+        end = F.when(whole, F.coalesce("_duration", zero)).otherwise(F.col("end_ms"))
+        segs = segs.join(known, "rec_id", "left").withColumn("end_ms", end).drop("_duration")
+    segs = segs.withColumn("end_ms", T.repair_end("start_ms", "end_ms", "text")).select(
+        "rec_id", "seg_no", "start_ms", "end_ms", break_lines_punct("text", max_len).alias("lines")
+    )
+    lines = C.allocate_by_weight(segs, T.effective_len)
+    numbered = C.running(
+        lines, ["rec_id"], ["seg_no", "line_no"], F.floor(F.col("seg_no") / 1024).cast("bigint"),
+        [C.Running("cue_no", "sum", F.lit(1).cast("bigint"))],
+    )
+    placed = C.monotone_times(numbered, order=["cue_no"], shard=F.floor(F.col("cue_no") / 4096).cast("bigint"))
+    text = numbered.select("rec_id", "cue_no", F.col("line").alias("text"))
+    return placed.join(text, ["rec_id", "cue_no"])

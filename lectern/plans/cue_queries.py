@@ -130,6 +130,24 @@ def monotone_times(spark, d):
     return C.monotone_times(B.cues(spark, d))
 
 
+# The text of a segment is a line and a longer one, which the last two letters join. Of the marks only "!" has no weight.
+@query(f"""WITH RECURSIVE {Q.CUES},
+c AS (SELECT rec_id, row_number() {_W} AS seg_no, start_ms AS s, text, length(text) * 2 + 11 AS n, end_ms AS e0 FROM cues),
+r AS (SELECT *, CASE WHEN e0 <= s THEN s + greatest(1000, n * 200) ELSE e0 END AS e, length(text) + 1 AS w0, length(text) + 6 AS w1 FROM c),
+l AS (SELECT rec_id, 2 * seg_no - 1 AS i, text || '.' AS line, s::DOUBLE AS s, s + (e - s) * w0::DOUBLE / (w0 + w1) AS e FROM r
+ UNION ALL SELECT rec_id, 2 * seg_no, 'Then ' || text || '!On', s + (e - s) * w0::DOUBLE / (w0 + w1), e::DOUBLE FROM r),
+w AS (SELECT rec_id, i, line, s, CASE WHEN e > s THEN e ELSE s + 300 END AS e FROM l WHERE i = 1
+ UNION ALL SELECT l.rec_id, l.i, l.line, greatest(l.s, w.e), CASE WHEN l.e > greatest(l.s, w.e) THEN l.e ELSE greatest(l.s, w.e) + 300 END
+ FROM w JOIN l ON l.rec_id = w.rec_id AND l.i = w.i + 1)
+SELECT rec_id, i AS cue_no, round(s, 3) AS start_ms, round(e, 3) AS end_ms, line AS text FROM w""")
+def batch_subtitles(spark, d):
+    """The whole batch subtitle job over each user's events as recogniser segments."""
+    cues = C.numbered(B.cues(spark, d), ["rec_id"], C.ORDER, C.time_shard("start_ms"), "seg_no")
+    text = F.concat(F.lit("<|en|>"), "text", F.lit(". Then "), "text", F.lit("! On"))
+    out = L.batch_subtitles(cues.select("rec_id", "seg_no", text.alias("text"), "start_ms", "end_ms"))
+    return out.select("rec_id", "cue_no", F.round("start_ms", 3).alias("start_ms"), F.round("end_ms", 3).alias("end_ms"), "text")
+
+
 def _clock(x: str) -> str:
     return f"format('{{:02d}}:{{:02d}}:{{:02d}},{{:03d}}', {x} // 3600000, {x} // 60000 % 60, {x} // 1000 % 60, {x} % 1000)"
 

@@ -151,3 +151,25 @@ def test_overlap_pairs_are_found_once(spark):
     got = C.captions_over_silence(cues, quiet, 7000).select("cue_no", "silence_start", "silence_end").collect()
     want = [(x[1], y[1], y[2]) for x in a for y in b if x[2] < y[2] and y[1] < x[3]]
     assert sorted(tuple(g) for g in got) == sorted(want)
+
+
+def test_batch_subtitles(spark):
+    rows = [
+        ("a", 0, "<|zh|>你好世界。今天天气很好！", 0.0, 700.0), ("a", 1, " <|x|> ", 700.0, 900.0), ("a", 2, None, 0.0, 0.0),
+        ("a", 3, "早", 600.0, 650.0), ("a", 4, "晚安。", 5000.0, 4000.0), ("b", 0, "whole text", 0.0, 0.0), ("c", 0, "没有时长", None, None),
+    ]
+    segments = spark.createDataFrame(rows, "rec_id string, seg_no int, text string, start_ms double, end_ms double")
+    durations = spark.createDataFrame([("a", 9e9), ("b", 2500.0)], "rec_id string, duration_ms double")
+    got = [tuple(r) for r in L.batch_subtitles(segments, durations).orderBy("rec_id", "cue_no").collect()]
+    assert got == [
+        ("a", 1, 0.0, 280.0, "你好世界。"), ("a", 2, 280.0, 700.0, "今天天气很好！"), ("a", 3, 700.0, 1000.0, "早"), ("a", 4, 5000.0, 6000.0, "晚安。"),
+        ("b", 1, 0.0, 2500.0, "whole text"), ("c", 1, 0.0, 1000.0, "没有时长"),
+    ]
+    assert L.batch_subtitles(segments.limit(0)).count() == 0
+
+
+def test_monotone_times_keep_fractions_and_a_given_order(spark):
+    rows = [("r", 1, 10.5, 20.25), ("r", 2, 0.0, 5.0), ("r", 3, 400.75, 400.75), ("q", 1, 1.0, 2.0)]
+    cues = spark.createDataFrame(rows, "rec_id string, cue_no long, start_ms double, end_ms double")
+    got = sorted(tuple(r) for r in C.monotone_times(cues, order=["cue_no"], shard=F.floor(F.col("cue_no") / 2)).collect())
+    assert got == [("q", 1, 1.0, 2.0), ("r", 1, 10.5, 20.25), ("r", 2, 20.25, 320.25), ("r", 3, 400.75, 700.75)]
