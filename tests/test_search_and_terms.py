@@ -77,6 +77,16 @@ def test_equal_lengths_are_compared_both_ways(spark):
         assert (hit.match_type, hit.similarity, hit.swapped) == ("fuzzy", 85.7, False)
 
 
+def test_search_summary_counts_failed_files(spark):
+    segments = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1)], "rec string, seg int")
+    matches = spark.createDataFrame([("a", 1, "k"), ("a", 1, "l"), ("a", 2, "k"), ("c", 1, "k")], "rec string, seg int, keyword string")
+    files = spark.createDataFrame([("a", None), ("b", None), ("c", None), ("d", "no audio"), ("d", "no audio"), ("e", "broken")], "rec string, error string")
+    got = K.search_summary(segments, matches, "rec", ["rec", "seg"], files).first().asDict()
+    assert got == {"total_segments": 4, "total_files": 5, "matched_segments": 3, "matched_files": 2, "failed_files": 2}
+    none = K.search_summary(segments, matches.limit(0), "rec", ["seg"]).first()
+    assert (none.matched_segments, none.matched_files, none.total_files) == (0, 0, 3)
+
+
 def test_anchor_ratios():
     assert round(K.indel_ratio("蓝心妹", "蓝心湄"), 1) == 66.7
     assert K.indel_ratio("剪辑", "剪映") == 50.0
