@@ -18,6 +18,7 @@ AUDIO_EXTENSIONS = ["wav", "mp3", "m4a", "flac", "aac", "ogg", "wma", "opus"]
 OWN_TEMP_NAMES = "(^|/)batchsub_[^/]*$|\\.temp\\.wav$"
 UNSUPPORTED, EMPTY = "unsupported format", "empty file"
 BOM = "﻿"
+BLOCK_MARK = "\uffff"
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -97,38 +98,21 @@ def parse_subtitles(files: DataFrame, dialect: str = "tolerant") -> DataFrame:
     """files(rec_id, body) to cues(rec_id, cue_no, start_ms, end_ms, lines).
 
     ``tolerant``: BOM, any line ends, comma or dot millis, missing index lines; lines made only
-    of digits are taken for index lines; sorted by start. ``strict``: blank-line blocks with the
+    of digits are taken for index lines; a time line also ends the cue before it, whose text stays;
+    sorted by start. ``strict``: blank-line blocks with the
     time in their first or second line; the text lines are joined by spaces, file order kept.
     A subtitle file is one row, so parsing is an array expression without a shuffle.
     """
     body = F.regexp_replace(F.regexp_replace("body", "\\r\\n?", "\n"), BOM, "")
     if dialect == "tolerant":
-        lines = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, "(?U)\\s+\\z", ""))
-        # A block runs from a time line to the next blank or time line.
-        blank = "array<string>"
-        start = F.struct(
-            F.lit(None).cast("string").alias("time"), F.array().cast(blank).alias("text"),
-            F.array().cast(f"array<struct<time:string,text:{blank}>>").alias("out"),
-        )
-
-        def close(a: Column) -> Column:
-            full = a["time"].isNotNull() & (F.size(a["text"]) > 0)
-            block = F.struct(a["time"].alias("time"), a["text"].alias("text"))
-            return F.when(full, F.concat(a["out"], F.array(block))).otherwise(a["out"])
-
-        def step(a: Column, x: Column) -> Column:
-            timed, empty = x.rlike(T.CUE_TIMES), x == ""
-            none = F.array().cast(blank)
-            index = x.rlike("(?U)^\\d+\\z") | a["time"].isNull()
-            return F.struct(
-                F.when(timed, x).when(empty, F.lit(None)).otherwise(a["time"]).alias("time"),
-                F.when(timed | empty, none).when(index, a["text"]).otherwise(
-                    F.concat(a["text"], F.array(x))
-                ).alias("text"),
-                F.when(empty, close(a)).otherwise(a["out"]).alias("out"),
-            )
-
-        blocks = F.aggregate(lines, start, step, close)
+        # A block runs from a time line to the next blank or time line. Both get a mark, a code point that no text has,
+        # and the file is split at the marks: work grows with the file's length.
+        tidy = F.regexp_replace(F.replace(body, F.lit(BLOCK_MARK), F.lit("")), "(?U)[^\\S\\n]+(?=\\n|\\z)", "")
+        marked = F.regexp_replace(F.regexp_replace(tidy, f"(?md)^(?=.*{T.CUE_TIMES})", BLOCK_MARK), "(?md)^$", BLOCK_MARK)
+        timed = F.filter(F.split(marked, BLOCK_MARK), lambda x: F.get(F.split(x, "\n"), F.lit(0)).rlike(T.CUE_TIMES))
+        each = F.transform(timed, lambda x: F.split(x, "\n"))
+        text = lambda x: F.filter(F.slice(x, F.lit(2), F.size(x)), lambda t: (t != "") & ~t.rlike("(?U)^\\d+\\z"))
+        blocks = F.filter(F.transform(each, lambda x: F.struct(x[0].alias("time"), text(x).alias("text"))), lambda b: F.size(b["text"]) > 0)
         rows = files.select("rec_id", F.posexplode(blocks).alias("at", "b")).select(
             "rec_id", "at", F.col("b.time").alias("time"), F.col("b.text").alias("lines")
         )

@@ -46,6 +46,13 @@ def test_subtitle_dialects(spark):
     assert [(c.start_ms, c.lines) for c in strict] == [(2005, ["second 42"]), (1000, ["first line"])]
 
 
+def test_a_time_line_ends_the_cue_before_it(spark):
+    body = "00:00:01,000 --> 00:00:02,000 \nfirst \n  more\t\n2\n00:00:03.000 --> 00:00:04.000\nsecond\n\nstray\n00:00:05,000 --> 00:00:06,000\n00:00:07,000 --> 00:00:08,000\nlast"
+    files = spark.createDataFrame([("r", body), ("empty", ""), ("none", None)], "rec_id string, body string")
+    got = [(c.rec_id, c.cue_no, c.start_ms, c.lines) for c in R.parse_subtitles(files).orderBy("cue_no").collect()]
+    assert got == [("r", 1, 1000, ["first", "  more"]), ("r", 2, 3000, ["second"]), ("r", 3, 7000, ["last"])]
+
+
 def test_documents_utf8_gbk_and_errors(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("知识".encode("gbk") + b"\xff")
     (tmp_path / "b.MD").write_text("# 标题", encoding="utf-8")
