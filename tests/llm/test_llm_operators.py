@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import (
     decontaminate,
@@ -334,7 +336,85 @@ def test_html_templates(spark):
     assert (got[90], got[91], got[92], got[93]) == ("", "", "plain < text", "Only é")
     assert html_template.extract(pages).count() == len(rows) and html_template.extract(pages.limit(0)).count() == 0
     paths = {r.host: r.candidates for r in html_template.deduce_templates(pages).collect()}
-    assert paths["h1.org"][0] == "/html/body/div.story"
+    assert paths["h1.org"][0] == path_number("html", "body", "div.story")
+    named = pages.withColumns({c: F.lit("x") for c in ("host", "text", "candidates", "dropped", "path")})
+    assert {r.page_id: r.text for r in html_template.extract(named).collect()} == got
+
+
+def path_number(*labels):
+    path = html_template.ROOT_PATH
+    for label in labels:
+        path = html_template.below(path, label)
+    return path
+
+
+SITE = (
+    "<html><head><title>Story {0}</title></head><body><nav><ul><li><a href='/{0}'>go {0}</a></li><li><a href='/x'>far {0}</a></li></ul></nav>"
+    "<div class='ad'>Buy {0} now {1}</div><article><h1>Story {0}</h1><p>{2}</p><p>{2} <a href='/y'>more</a></p></article>"
+    "<div><span>Filed</span> under {0} {1}</div><footer>&copy; site {0} {1}</footer></body></html>"
+)
+
+
+def site(n, **changed):
+    rng = random.Random(4)
+    words = lambda k: " ".join(f"w{rng.randrange(999)}" for _ in range(k))
+    pages = [SITE.format(i, words(rng.randrange(1, 4)), words(rng.randrange(30, 60))) for i in range(n)]
+    for old, new in changed.items():
+        pages = [p.replace(f"class='{old}'", f"class='{new}'").replace(f"<{old}>", f"<{new}>").replace(f"</{old}>", f"</{new}>") for p in pages]
+    return [(i, f"http://{'big' if i % 3 else 'small'}.org/{i}", p) for i, p in enumerate(pages)]
+
+
+def test_html_results_do_not_hang_on_names(spark):
+    """Adverts, menus and footers go by the template, whatever their classes and tags are called."""
+    text = lambda rows: {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = text(site(24))
+    for i, _, page in site(24):
+        body = page[page.index("<p>") + 3 : page.index("</p>")]
+        assert want[i] == f"Story {i} {body} {body} more"
+    assert text(site(24, ad="zq7")) == want
+    assert text(site(24, nav="div", footer="div")) == want
+    assert text(site(24, ad="zq7", nav="div", footer="div")) == want
+
+
+def test_html_classes_equal_a_plain_builder(spark):
+    """Classes of tokens by occurrence vectors and their order, against vectors held whole."""
+    rows = [r[:2] + (r[2] if r[0] % 4 else r[2].replace("<footer>", "<hr><section>s</section><footer>"),) for r in site(20)]
+    rows += [(100 + i, "http://turned.org/", "<body><div class=a>one two</div><div class=b>x y</div></body>" if i % 2 else "<body><div class=b>x y</div><div class=a>one two</div></body>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    given = pages.select(html_template.host_of(F.col("url")).alias("host"), F.col("page_id").alias("page"), "html")
+    vectors, orders = {}, {}
+    for i, url, page in rows:
+        for token, _, _, _, n, *_ in html_template.page_tokens(page):
+            vectors.setdefault((url.split("/")[2], token), {})[i] = n
+    classes = {}
+    for (host, token), vector in vectors.items():
+        classes.setdefault((host, frozenset(vector.items())), set()).add(token)
+    table = html_template.token_table(given).collect()
+    got = {}
+    for r in table:
+        got.setdefault((r.host, r.vector, r.support), set()).add(r.token)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values()))
+    assert all(r.support == len(vectors[r.host, r.token]) and r.most == max(vectors[r.host, r.token].values()) for r in table)
+    once = spark.createDataFrame([(r.host, r.token, r.vector) for r in table if r.most == 1], "host string, token long, vector long")
+    listed = once.groupBy("host").agg(F.collect_list(F.struct("token", "vector")).alias("classes"))
+    for r in html_template.class_orders(given.select("host", "html"), listed).collect():
+        orders.setdefault(r.host, []).append((r.in_order, r.words_in_order))
+    assert orders["turned.org"] == [(False, False)]  # the two boxes change places, so all of the host's one class does not hold
+    assert all(x == (True, True) for host in ("big.org", "small.org") for x in orders[host])
+    mains = {r.host for r in html_template.deduce_templates(pages).collect()}
+    assert mains == {"big.org", "small.org"}
+    assert {r.text for r in html_template.extract(pages).collect() if r.page_id >= 100} == {"one two x y", "x y one two"}
+
+
+def test_html_deep_markup_costs_its_length():
+    deep = "<body>" + "<span>" * 100_000 + "text" + "<p>tail" + "<li>" * 1000
+    start = time.perf_counter()
+    tokens = html_template.page_tokens(deep)
+    assert len(tokens) > 100_000
+    assert html_template.main_text(deep, [path_number("body")], []) == "text tail"
+    mixed = "<div>" + "<span><p>x" * 30_000
+    assert html_template.main_text(mixed, [], []) == " ".join("x" * 30_000)
+    assert time.perf_counter() - start < 20
 
 
 def test_html_titles_and_leads_outside_the_main_element(spark):
