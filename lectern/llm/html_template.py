@@ -368,7 +368,8 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     often = tokens.join(sizes, F.col("host").eqNullSafe(F.col("s_host"))).drop("s_host").filter(F.col("support") >= MIN_SUPPORT * F.col("pages"))
     # The classes: tokens of one vector. A word makes one with others only on pages enough.
     once = often.filter((F.col("most") == 1) & ((F.col("kind") < WORD) | (F.col("support") >= MIN_FIXED)))
-    listed = once.filter("pages > 1").groupBy("host").agg(F.collect_list(F.struct("token", "vector")).alias("classes"))
+    # Written, so its size is known: the pages are shuffled by host only if the lists are too large to be sent to the tasks.
+    listed = materialise(once.filter("pages > 1").groupBy("host").agg(F.collect_list(F.struct("token", "vector")).alias("classes")), "classes")
     orders = materialise(class_orders(given.select("host", "html"), listed), "class-orders").select(
         F.col("host").alias("o_host"), F.col("vector").alias("o_vector"), "in_order", "words_in_order"
     )
