@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.ordered import global_rank
+from lectern.operators.ordered import global_rank, range_rank
 
 # Sample sizes and the wording of a chat sample.
 SAMPLE_N = 80
@@ -64,10 +64,10 @@ def pair_by_uid(manifest: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("uid", "path", "text", status.alias("status"))
 
 
-def hash_bucket(uid: str, seed: int = SHUFFLE_SEED) -> tuple[DataFrame | Column, Column]:
-    """(shuffle key, bucket): a seeded digest and its first two hex digits, evenly spread."""
+def hash_bucket(uid: str, seed: int = SHUFFLE_SEED) -> tuple[Column, Column]:
+    """(shuffle key, bucket): a seeded digest and its first four hex digits, evenly spread over 65,536 values."""
     digest = F.md5(F.concat_ws("#", F.lit(str(seed)), F.col(uid).cast("string")))
-    return digest, F.conv(F.substring(digest, 1, 2), 16, 10).cast("int")
+    return digest, F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
 
 
 def train_val_split(utterances: DataFrame, uid: str = "utt_id", every: int = VAL_EVERY,
@@ -75,7 +75,7 @@ def train_val_split(utterances: DataFrame, uid: str = "utt_id", every: int = VAL
     """Shuffle by a seeded digest of the id; every eighth row goes to validation.
 
     The rank in shuffle order is exact but never sorts the table in one task: rows are ranked
-    inside 256 digest buckets and the bucket sizes supply the offsets.
+    inside 65,536 digest buckets (1.5 million rows each of 10^11), and the bucket sizes supply the offsets.
     """
     digest, bucket = hash_bucket(uid, seed)
     ranked = global_rank(utterances.withColumn("_digest", digest), ["_digest", uid], bucket, "_rank")
@@ -83,43 +83,21 @@ def train_val_split(utterances: DataFrame, uid: str = "utt_id", every: int = VAL
     return ranked.withColumn("split", split).drop("_digest", "_rank")
 
 
-def range_bucket(df: DataFrame, column: str, buckets: int = 256) -> Column:
-    """A bucket number that never decreases along ``column``, from sampled split points.
+def systematic_sample(rows: DataFrame, uid: str = "uid", n: int = SAMPLE_N) -> DataFrame:
+    """Sort by uid, take every (N div n)-th row, at most n: a spread-out sample.
 
-    Only split points come from the sample (at most ``buckets`` values); every row is ranked.
+    Only uids and row hashes are ranked, in ranges that grow in number with the rows; the few chosen ones, ``n`` at most,
+    then pick the rows. Rows of one uid follow each other by their hash, of equal rows as many are taken as were chosen.
     """
-    points = (
-        df.select(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10_000).alias("p"))
-        .first()["p"]
-        if dict(df.dtypes)[column] not in ("string",)
-        else _string_points(df, column, buckets)
-    )
-    points = sorted(set(points or []))
-    if not points:
-        return F.lit(0)
-    array = F.lit(points)
-    return F.size(F.filter(array, lambda p: p < F.col(column)))
-
-
-def _string_points(df: DataFrame, column: str, buckets: int) -> list[str]:
-    wanted = buckets * 20
-    digest = F.xxhash64(column)
-    rows = df.select(column, digest.alias("_h")).orderBy("_h").limit(wanted).collect()
-    values = sorted({r[0] for r in rows if r[0] is not None})
-    step = max(1, len(values) // buckets)
-    return values[step::step]
-
-
-def systematic_sample(rows: DataFrame, uid: str = "uid", n: int = SAMPLE_N) -> DataFrame:
-    """Sort by uid, take every (N div n)-th row, at most n: a spread-out sample."""
     total = rows.count()
     step = max(1, total // n)
-    ranked = global_rank(rows, [uid], range_bucket(rows, uid), "_rank")
-    return (
-        ranked.filter((F.col("_rank") - 1) % step == 0)
-        .filter(F.col("_rank") <= step * n)
-        .drop("_rank")
-    )
+    keyed = rows.withColumn("_hash", F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t]))
+    ranked = range_rank(keyed.select(uid, "_hash"), [uid, "_hash"], total, "_rank")
+    chosen = ranked.filter(((F.col("_rank") - 1) % step == 0) & (F.col("_rank") <= step * n))
+    wanted = chosen.groupBy(F.col(uid).alias("_uid"), F.col("_hash").alias("_of")).agg(F.count("*").alias("_times"))
+    found = keyed.join(F.broadcast(wanted), F.col(uid).eqNullSafe(F.col("_uid")) & (F.col("_hash") == F.col("_of")))
+    nth = F.row_number().over(Window.partitionBy("_uid", "_of").orderBy("_hash"))
+    return found.withColumn("_nth", nth).filter("_nth <= _times").select(*rows.columns)
 
 
 def build_samples(pairs: DataFrame, text_length: Column | None = None) -> DataFrame:

@@ -13,7 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import materialise
+
 SHARD_MS = 600_000
+#: Rows of a range in which one task ranks.
+RANGE_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -130,6 +134,17 @@ def global_rank(df: DataFrame, order: list[str], bucket: Column, alias: str = "r
     )
 
 
+def range_rank(df: DataFrame, order: list[str], rows: int, alias: str = "rank") -> DataFrame:
+    """Rank 1..n over the whole table, ``rows`` long, from ranges of ``order`` that Spark samples.
+
+    There are as many ranges as the rows need, and their sizes give the offsets. The ranges are written, as
+    another run of the sampling may cut elsewhere. Rows equal in ``order`` share a range: it should tell rows apart.
+    """
+    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(max(shuffles, -(-rows // RANGE_ROWS)), *order)
+    return global_rank(materialise(ranges.withColumn("_range", F.spark_partition_id()), "ranges"), order, F.col("_range"), alias).drop("_range")
+
+
 def fold_stream(df: DataFrame, keys: list[str], order: list[str], fn, schema: str) -> DataFrame:
     """Run a sequential fold over each key in order, one row batch in memory at a time.
 

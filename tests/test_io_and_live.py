@@ -289,3 +289,26 @@ def test_alignment_of_a_long_text_is_quick():
     text = "".join(c.upper() if k % 997 == 0 else c for k, c in enumerate(heard))
     start = time.process_time()
     assert len(alignment.sources_of(text, heard)) == 60_000 and time.process_time() - start < 60
+
+
+@pytest.mark.parametrize("n", [1, 7, 40, 500])
+def test_systematic_sample_equals_plain_slicing(spark, monkeypatch, n):
+    """Null and repeated uids, equal rows, more ranges than shuffle partitions, a column of maps."""
+    monkeypatch.setattr("lectern.operators.ordered.RANGE_ROWS", 13)
+    rows = [(f"u{i * 37 % 101:03d}", i) for i in range(101)] + [("u050", 1000 + i) for i in range(60)] + [("u051", 7)] * 30 + [(None, 5), (None, 5)]
+    df = spark.createDataFrame(rows, "uid string, x int").withColumn("m", F.create_map(F.lit("k"), "x"))
+    got = A.systematic_sample(df, "uid", n).select("uid", "x", F.xxhash64("uid", "x").alias("h")).collect()
+    hashed = df.select("uid", "x", F.xxhash64("uid", "x").alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r.uid is not None, r.uid or "", r.h))
+    want = order[:: max(1, len(order) // n)][:n]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert A.systematic_sample(df.limit(0), "uid", n).count() == 0
+
+
+def test_split_takes_every_eighth_in_digest_order(spark):
+    import hashlib
+
+    df = spark.range(1000).withColumnRenamed("id", "utt_id")
+    got = {r.utt_id for r in A.train_val_split(df).filter("split = 'val'").collect()}
+    order = sorted(range(1000), key=lambda i: hashlib.md5(f"{A.SHUFFLE_SEED}#{i}".encode()).hexdigest())
+    assert got == set(order[:: A.VAL_EVERY])
