@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.chains import chain, first_above
 from lectern.operators.ordered import SHARD_MS, Running, fold_stream, numbered, running, time_shard
+from lectern.session import materialise
 
 # Display times in milliseconds and the characters that end sentences or
 # may not begin a line.
@@ -30,6 +32,9 @@ SENTENCE_MARKS = "。！？!?；;"
 LEADING_MARKS = "，、,：:；;）)」》”"
 
 ORDER = ["start_ms", "cue_no"]
+#: Cues of a run that one task folds; a longer run spreads over tasks by pointers.
+LONG_RUN = 100_000
+RUN = ["rec_id", "run_no"]
 
 
 def sorted_cues(cues: DataFrame) -> DataFrame:
@@ -282,11 +287,13 @@ def monotone_times(
 
     ``order`` is the order of the cues, by default that of their times; another one comes with its ``shard``. Times keep
     their type, whole or fractional milliseconds. Where a cue starts at or after every possible earlier end, nothing before it matters; the
-    fold runs on the stretches between such cues, in parallel.
+    fold runs on the stretches between such cues, in parallel. In a stretch of more than ``LONG_RUN`` cues a cue whose own
+    times settle its end points to the next such cue, and the pointers are followed block by block.
     """
     shard = time_shard("start_ms", width) if shard is None else shard
     bounded = _with_previous_bound(cues.select("rec_id", "cue_no", "start_ms", "end_ms"), min_ms, order, shard)
     runs = _run_ids(bounded, F.col("start_ms") >= F.col("_bound"), order, shard)
+    runs, long = _long_runs(runs.select(*RUN, "cue_no", "start_ms", "end_ms", shard.alias("_of")), order)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = None, 0
@@ -306,11 +313,48 @@ def monotone_times(
 
     types = dict(cues.dtypes)
     time = "double" if {types["start_ms"], types["end_ms"]} & {"double", "float"} else "bigint"
-    return fold_stream(
+    short = fold_stream(
         runs.select("rec_id", "run_no", "cue_no", "start_ms", "end_ms"),
         ["rec_id", "run_no"], order, fold,
         f"rec_id {types['rec_id']}, cue_no bigint, start_ms {time}, end_ms {time}",
     )
+    if long is None:
+        return short
+    return short.union(_monotone_long(long, min_ms).select("rec_id", "cue_no", F.col("start_ms").cast(time), F.col("end_ms").cast(time)))
+
+
+def _long_runs(runs: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of runs that one task folds, and those of longer ones numbered from 0 (``pos``), if there are any."""
+    runs = materialise(runs, "runs")
+    sizes = runs.groupBy(*RUN).agg(F.count("*").alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= LONG_RUN:
+        return runs, None
+    sizes = materialise(sizes.filter(F.col("_n") > LONG_RUN).drop("_n"), "long-runs")
+    long = numbered(runs.join(sizes, RUN), RUN, order, F.col("_of"), "_k").withColumn("pos", F.col("_k") - 1).drop("_k")
+    return runs.join(sizes, RUN, "left_anti"), materialise(long, "long-runs")
+
+
+def _monotone_long(rows: DataFrame, min_ms: int) -> DataFrame:
+    """Final times of the cues of long runs.
+
+    If the end of cue i is settled as c by its own times, later ones that are not end at c + min, c + 2 min and so on, until a
+    cue j whose limit t (its end, or its start if it does not advance) is past the end before it.
+    """
+    advances = F.col("end_ms") > F.col("start_ms")
+    limit = F.when(advances, F.col("end_ms")).otherwise(F.col("start_ms"))
+    settled = F.when(advances, F.col("end_ms")).otherwise(F.col("start_ms") + min_ms)
+    values = rows.select(*RUN, "pos", (limit - F.col("pos") * min_ms).alias("v"))
+    queries = rows.select(*RUN, F.col("pos").alias("q"), "pos", (settled - (F.col("pos") + 1) * min_ms).alias("v"))
+    on = chain(_pointers(rows, first_above(queries, values, RUN)), RUN).withColumn("_on", F.lit(True))
+    known = rows.join(on, [*RUN, "pos"], "left").withColumn("_settled", F.when(F.col("_on"), settled - F.col("pos") * min_ms))
+    ends = running(known, RUN, ["pos"], F.floor(F.col("pos") / 4096).cast("bigint"), [Running("_c", "last", F.col("_settled"))])
+    ends = ends.withColumn("_end", F.col("_c") + F.col("pos") * min_ms)
+    before = running(ends, RUN, ["pos"], F.floor(F.col("pos") / 4096).cast("bigint"), [Running("_before", "lag", F.col("_end"))])
+    return before.select("rec_id", "cue_no", F.greatest("start_ms", "_before").alias("start_ms"), F.col("_end").alias("end_ms"))
+
+
+def _pointers(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.select(*RUN, "pos").join(found.select(*RUN, F.col("q").alias("pos"), F.col("found").alias("next")), [*RUN, "pos"], "left")
 
 
 def merge_cues(
@@ -322,7 +366,8 @@ def merge_cues(
     An utterance closes when it already lasts ``min_ms`` and the next cue would take it past
     ``max_ms``. If cue i-1 alone lasts ``min_ms`` and cue i ends more than ``max_ms`` after cue
     i-1 began, a cut before i is certain whatever came earlier, so the fold runs on the
-    stretches between certain cuts, in parallel.
+    stretches between certain cuts, in parallel. In a stretch of more than ``LONG_RUN`` cues each points to the cue that would
+    end an utterance begun by it, and the pointers are followed block by block.
     """
     certain = (F.col("_pe") - F.col("_ps") >= min_ms) & (F.col("end_ms") - F.col("_ps") > max_ms)
     base = running(
@@ -331,6 +376,8 @@ def merge_cues(
         [Running("_ps", "lag", F.col("start_ms")), Running("_pe", "lag", F.col("end_ms"))],
     )
     runs = _run_ids(base, certain, ORDER, time_shard("start_ms", width))
+    kept = runs.select(*RUN, "cue_no", "start_ms", "end_ms", "text", time_shard("start_ms", width).alias("_of"))
+    runs, long = _long_runs(kept, ORDER)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rec, start, end, texts = None, None, 0, 0, []
@@ -353,11 +400,32 @@ def merge_cues(
             )
 
     rec_type = dict(cues.dtypes)["rec_id"]
-    return fold_stream(
+    short = fold_stream(
         runs.select("rec_id", "run_no", "cue_no", "start_ms", "end_ms", "text"),
         ["rec_id", "run_no"], ORDER, fold,
         f"rec_id {rec_type}, start_ms bigint, end_ms bigint, n_cues bigint, text string",
     )
+    return short if long is None else short.union(_merge_long(long, min_ms, max_ms).filter(F.col("end_ms") - F.col("start_ms") >= keep_ms))
+
+
+def _merge_long(rows: DataFrame, min_ms: int, max_ms: int) -> DataFrame:
+    """Utterances of long runs. One begun by cue i lasts ``min_ms`` from the first cue p on that ends so late, and ends
+    before the first cue after p that ends more than ``max_ms`` after its begin."""
+    values = rows.select(*RUN, "pos", F.col("end_ms").alias("v"))
+    begun = rows.select(*RUN, F.col("pos").alias("q"), "pos", "start_ms", "end_ms")
+    own = F.col("end_ms") - F.col("start_ms") >= min_ms
+    late = first_above(begun.filter(~own).select(*RUN, "q", "pos", (F.col("start_ms") + min_ms - 1).alias("v")), values, RUN)
+    lasting = begun.filter(own).select(*RUN, "q", "pos", "start_ms").union(
+        begun.select(*RUN, "q", "start_ms").join(late, [*RUN, "q"]).select(*RUN, "q", F.col("found").alias("pos"), "start_ms")
+    )
+    cuts = first_above(lasting.select(*RUN, "q", "pos", (F.col("start_ms") + max_ms).alias("v")), values, RUN)
+    on = chain(_pointers(rows, cuts), RUN).withColumn("_on", F.lit(1))
+    marked = rows.join(on, [*RUN, "pos"], "left")
+    parts = running(marked, RUN, ["pos"], F.floor(F.col("pos") / 4096).cast("bigint"), [Running("_part", "sum", F.coalesce("_on", F.lit(0)))])
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "")
+    return parts.groupBy(*RUN, "_part").agg(
+        F.min_by("start_ms", "pos").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_cues"), texts.alias("text")
+    ).select("rec_id", "start_ms", "end_ms", "n_cues", "text")
 
 
 # --------------------------------------------------------------------------- time allocation

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.operators import chains
 from lectern.operators import cues as C
 from lectern.operators import lines as L
 from lectern.operators.ordered import Running, global_rank, running, time_shard
@@ -41,6 +42,31 @@ def test_folds_equal_the_sequential_rule(spark, seed, spread):
         specs.check_merged([(g[2], g[3], g[4]) for g in group], sorted(merged.get(rec, [])))
 
 
+@pytest.mark.parametrize("seed,spread", [(1, 3000), (5, 2_000_000)])
+def test_pointers_equal_the_fold(spark, monkeypatch, seed, spread):
+    """Runs of any length by pointers over blocks of five cues, three levels of blocks deep, against the fold."""
+    rows = _random_cues(seed, n=170, spread=spread) + [("gapless", i, 700 * i, 700 * i + [600, 900, 800][i % 3], "x") for i in range(170)]
+    df = spark.createDataFrame(rows, "rec_id string, cue_no bigint, start_ms bigint, end_ms bigint, text string")
+    want = [sorted(map(tuple, f(df, width=20_000).collect())) for f in (C.monotone_times, C.merge_cues)]
+    monkeypatch.setattr(C, "LONG_RUN", 3)
+    monkeypatch.setattr(chains, "BLOCK", 5)
+    assert [sorted(map(tuple, f(df, width=20_000).collect())) for f in (C.monotone_times, C.merge_cues)] == want
+    assert C.monotone_times(df.limit(0)).count() == C.merge_cues(df.limit(0)).count() == 0
+
+
+def test_first_above_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chains, "BLOCK", 4)
+    rnd = random.Random(3)
+    values = [(k, p, rnd.randrange(40)) for k in ("a", "b") for p in range(90)]
+    queries = [(k, q, rnd.randrange(90), rnd.randrange(45)) for k in ("a", "b") for q in range(150)]
+    got = chains.first_above(
+        spark.createDataFrame(queries, "k string, q long, pos long, v long"), spark.createDataFrame(values, "k string, pos long, v long"), ["k"]
+    )
+    found = {(r.k, r.q): r.found for r in got.collect()}
+    for k, q, pos, v in queries:
+        assert found.get((k, q)) == next((p for n, p, x in values if n == k and p > pos and x > v), None)
+
+
 def test_sharded_windows_equal_plain_windows(spark):
     rows = _random_cues(7, n=200)
     df = spark.createDataFrame(rows, "rec_id string, cue_no bigint, start_ms bigint, end_ms bigint, text string")
