@@ -32,8 +32,8 @@ SENTENCE_MARKS = "。！？!?；;"
 LEADING_MARKS = "，、,：:；;）)」》”"
 
 ORDER = ["start_ms", "cue_no"]
-#: Cues of a run that one task folds; a longer run spreads over tasks by pointers.
-LONG_RUN = 100_000
+#: Cues of a run that one task folds, in about half a minute; a longer run spreads over tasks by pointers.
+LONG_RUN = 2_000_000
 RUN = ["rec_id", "run_no"]
 
 
