@@ -11,6 +11,7 @@ from lectern.operators import dialogue as D
 from lectern.operators import keywords as K
 from lectern.operators import knowledge as N
 from lectern.operators import lines as L
+from lectern.operators import store as S
 from lectern.operators import terms as X
 from lectern.operators.grid import rows_within
 from lectern.plans import bindings as B
@@ -191,19 +192,35 @@ def kb_upsert(spark, d):
 SELECT source, count(*) AS chunks, sum(length(text))::BIGINT AS chars, min(md5(text)) AS lowest FROM (SELECT * FROM new UNION ALL
  SELECT source, doc_id, text FROM documents WHERE source NOT IN (SELECT source FROM new)) GROUP BY source""")
 def kb_upsert_stored(spark, d):
-    """The same on a stored table: only the partitions of re-added sources are rewritten."""
+    """The same on a stored table: only the buckets of re-added sources are rewritten."""
     path = scratch_path(spark, "kb")
     docs = B.table(spark, d, "documents").select("source", "doc_id", "text")
-    N.upsert_chunks(spark, path, docs)
+    S.create(spark, path, docs)
+    S.upsert(spark, path, docs)
     toxic = B.table(spark, d, "labels").filter("toxic = 1").select("doc_id")
     again = docs.join(toxic, "doc_id", "left_semi").select("source", "doc_id", F.replace("text", F.lit("e"), F.lit("E")).alias("text"))
-    N.upsert_chunks(spark, path, again)
-    return spark.read.parquet(path).groupBy("source").agg(
+    S.upsert(spark, path, again)
+    return S.load(spark, path).groupBy("source").agg(
         F.count("*").alias("chunks"), F.sum(F.length("text")).cast("bigint").alias("chars"),
         F.min(F.md5("text")).alias("lowest"),
     )
 
 
+@query("""SELECT source, count(*) AS before, sum(CASE WHEN source IN (SELECT DISTINCT source FROM documents d JOIN labels l USING (doc_id)
+ WHERE toxic = 1) THEN 0 ELSE 1 END)::BIGINT AS after, min(md5(text)) AS lowest FROM documents GROUP BY source""")
+def kb_delete_stored(spark, d):
+    """Sources with a toxic document leave a stored table; the version before it still has them."""
+    path = scratch_path(spark, "kb")
+    docs = B.table(spark, d, "documents").select("source", "doc_id", "text")
+    S.create(spark, path, docs)
+    first = S.upsert(spark, path, docs)
+    toxic = B.table(spark, d, "labels").filter("toxic = 1").select("doc_id")
+    S.delete(spark, path, docs.join(toxic, "doc_id", "left_semi"))
+    old = S.load(spark, path, first).groupBy("source").agg(F.count("*").alias("before"), F.min(F.md5("text")).alias("lowest"))
+    new = S.load(spark, path).groupBy("source").agg(F.count("*").alias("left"))
+    return old.join(new, "source", "left").select("source", "before", F.coalesce("left", F.lit(0)).cast("bigint").alias("after"), "lowest")
+
+
 @query("""SELECT source, count(*) AS chunks FROM documents WHERE source NOT IN
  (SELECT DISTINCT source FROM documents d JOIN labels l USING (doc_id) WHERE toxic = 1) GROUP BY source""")
 def kb_delete(spark, d):

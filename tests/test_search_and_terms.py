@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions.vectors import hash_vector
 from lectern.operators import keywords as K
 from lectern.operators import knowledge as N
+from lectern.operators import store as S
 from lectern.operators import terms as X
 from tests import specs
 
@@ -179,18 +180,56 @@ def test_vector_search_equals_brute_force(spark, monkeypatch, blocks):
     assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)])
 
 
-def test_upsert_and_delete_on_a_stored_table(spark, tmp_path):
+def _files(root):
+    return {str(p.relative_to(root)) for p in root.rglob("part-*") if "columns" not in str(p)}
+
+
+def test_stored_knowledge_base(spark, tmp_path):
+    root = tmp_path / "kb"
+    path = str(root)
+    names = ["a", "b", "c", None]
+    docs = spark.createDataFrame([(s, f"text of {s}") for s in names], "source string, text string")
+    chunks = N.index_documents(docs)
+    S.create(spark, path, chunks, buckets=8)
+    assert S.load(spark, path).count() == 0 and S.load(spark, path).columns == chunks.columns
+    assert S.upsert(spark, path, chunks) == 1
+    before = _files(root)
+    changed = spark.createDataFrame([("a", "new"), (None, "nameless")], "source string, text string")
+    assert S.upsert(spark, path, N.index_documents(changed)) == 2
+    texts = lambda v=None: {r.source: r.text for r in S.load(spark, path, v).collect()}
+    assert texts() == {"a": "new", "b": "text of b", "c": "text of c", None: "nameless"}
+    assert texts(1) == {s: f"text of {s}" for s in names}
+    # Old files stay, and the change wrote the buckets of its two sources only.
+    after = _files(root)
+    assert before <= after
+    of = {r.source: r.b for r in docs.select("source", S._bucket("source", 8).alias("b")).collect()}
+    written = {int(f.split("bucket=")[1].split("/")[0]) for f in after - before if "bucket=" in f}
+    assert written == {of["a"], of[None]}
+    gone = lambda *s: spark.createDataFrame([(x,) for x in s], "source string")
+    assert S.delete(spark, path, gone("unknown")) == 0 and S.version_of(spark, path) == 2
+    assert S.delete(spark, path, gone("a", "a", None)) == 2 and set(texts()) == {"b", "c"}
+    assert S.upsert(spark, path, chunks.limit(0)) == 4 and set(texts()) == {"b", "c"}
+    S.reset(spark, path)
+    assert texts() == {} and set(texts(2)) == set(names)
+    S.upsert(spark, path, chunks)
+    assert set(texts()) == set(names)
+
+
+def test_a_failed_write_leaves_the_version_before_it(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "kb")
-    docs = spark.createDataFrame([("a", "one two"), ("b", "three")], "source string, text string")
-    N.upsert_chunks(spark, path, N.index_documents(docs))
-    N.upsert_chunks(spark, path, N.index_documents(spark.createDataFrame([("a", "new")], "source string, text string")))
-    rows = {r.source: r.text for r in spark.read.parquet(path).collect()}
-    assert rows == {"a": "new", "b": "three"}
-    assert N.delete_source(spark, path, "a", str(tmp_path / "kb2")) == 1
-    left = spark.read.parquet(str(tmp_path / "kb2"))
-    assert [r.source for r in left.collect()] == ["b"]
-    N.reset_kb(spark, str(tmp_path / "kb2"), left)
-    assert spark.read.parquet(str(tmp_path / "kb2")).count() == 0
+    rows = spark.createDataFrame([("a", "one"), ("b", "two"), ("b", "two")], "source string, text string")
+    S.create(spark, path, rows, buckets=4)
+    S.upsert(spark, path, rows)
+    broken = rows.withColumn("text", F.when(F.col("source") == "b", F.raise_error(F.lit("lost"))).otherwise("x"))
+    with pytest.raises(Exception, match="lost"):
+        S.upsert(spark, path, broken)
+    # Nor does data count that was written without its log file.
+    with monkeypatch.context() as m:
+        m.setattr(S, "_commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            S.delete(spark, path, rows)
+    assert sorted(map(tuple, S.load(spark, path).collect())) == [("a", "one"), ("b", "two"), ("b", "two")]
+    assert S.version_of(spark, path) == 1
 
 
 def test_embedding_has_unit_length():
