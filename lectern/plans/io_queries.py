@@ -54,7 +54,7 @@ def srt_round_trip(spark, d):
     """Subtitle files per recording, written strictly and parsed back tolerantly."""
     path = scratch_path(spark, "srt")
     K.write_srt(C.renumber(B.cues(spark, d)), path, "strict")
-    cues = R.parse_subtitles(_recordings(spark, path))
+    cues = R.read_subtitles(spark, path, rec=_folder, **_PART_FILES)
     return cues.select("rec_id", "start_ms", "end_ms", F.array_join("lines", " ").alias("text")).withColumnRenamed("rec_id", "rec")
 
 
@@ -62,19 +62,16 @@ def srt_round_trip(spark, d):
 def srt_strict_round_trip(spark, d):
     path = scratch_path(spark, "srt")
     K.write_srt(C.renumber(B.cues(spark, d)), path, "plain")
-    cues = R.parse_subtitles(_recordings(spark, path), "strict")
+    cues = R.read_subtitles(spark, path, "strict", _folder, **_PART_FILES)
     return cues.select("rec_id", "start_ms", "end_ms", F.array_join("lines", " ").alias("text")).withColumnRenamed("rec_id", "rec")
 
 
-def _recordings(spark, path):
-    """The part files of each recording as one body, in part order."""
-    parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.txt"
-    ).load(path).select("path", F.decode("content", "UTF-8").alias("body"))
-    rec = F.regexp_extract("path", "/(rec_id=[^/]*)/", 1)
-    return parts.groupBy(rec.alias("rec_id")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "body"))), lambda x: x["body"]), "\n").alias("body")
-    )
+_PART_FILES = {"recursiveFileLookup": "true", "pathGlobFilter": "*.txt"}
+
+
+def _folder(path):
+    """A recording is a folder of part files."""
+    return F.regexp_extract(path, "/(rec_id=[^/]*)/", 1)
 
 
 @query(f"""WITH {Q.CUES} SELECT rec_id::VARCHAR AS rec, count(*) + 21 AS lines, 1::BIGINT AS heads FROM cues GROUP BY 1""")

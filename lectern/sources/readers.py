@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lectern import schemas
 from lectern.functions import text as T
 from lectern.functions.alignment import align_chars
 from lectern.operators.cues import char_segments
+from lectern.operators.ordered import Running, numbered, running, time_shard
 from lectern.operators.scoring import last_per_uid
 
 # Accepted extensions and own temporary names.
@@ -19,15 +22,16 @@ OWN_TEMP_NAMES = "(^|/)batchsub_[^/]*$|\\.temp\\.wav$"
 UNSUPPORTED, EMPTY = "unsupported format", "empty file"
 BOM = "﻿"
 BLOCK_MARK = "\uffff"
+CUE_COLUMNS = ["rec_id", "cue_no", "start_ms", "end_ms", "lines"]
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
+def text_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Lines with the place they came from: ``value, file, block, ticket``.
 
     ``ticket`` grows along a split, and ``block`` is where the split starts in its file, so
     (file, block, ticket) is the file order although splits are read in parallel.
     """
-    return spark.read.text(path).select(
+    return spark.read.options(**options).text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -101,7 +105,7 @@ def parse_subtitles(files: DataFrame, dialect: str = "tolerant") -> DataFrame:
     of digits are taken for index lines; a time line also ends the cue before it, whose text stays;
     sorted by start. ``strict``: blank-line blocks with the
     time in their first or second line; the text lines are joined by spaces, file order kept.
-    A subtitle file is one row, so parsing is an array expression without a shuffle.
+    A subtitle file is one row, so parsing is an array expression without a shuffle; ``read_subtitles`` reads long files.
     """
     body = F.regexp_replace(F.regexp_replace("body", "\\r\\n?", "\n"), BOM, "")
     if dialect == "tolerant":
@@ -109,18 +113,25 @@ def parse_subtitles(files: DataFrame, dialect: str = "tolerant") -> DataFrame:
         # and the file is split at the marks: work grows with the file's length.
         tidy = F.regexp_replace(F.replace(body, F.lit(BLOCK_MARK), F.lit("")), "(?U)[^\\S\\n]+(?=\\n|\\z)", "")
         marked = F.regexp_replace(F.regexp_replace(tidy, f"(?md)^(?=.*{T.CUE_TIMES})", BLOCK_MARK), "(?md)^$", BLOCK_MARK)
-        timed = F.filter(F.split(marked, BLOCK_MARK), lambda x: F.get(F.split(x, "\n"), F.lit(0)).rlike(T.CUE_TIMES))
-        each = F.transform(timed, lambda x: F.split(x, "\n"))
-        text = lambda x: F.filter(F.slice(x, F.lit(2), F.size(x)), lambda t: (t != "") & ~t.rlike("(?U)^\\d+\\z"))
-        blocks = F.filter(F.transform(each, lambda x: F.struct(x[0].alias("time"), text(x).alias("text"))), lambda b: F.size(b["text"]) > 0)
-        rows = files.select("rec_id", F.posexplode(blocks).alias("at", "b")).select(
-            "rec_id", "at", F.col("b.time").alias("time"), F.col("b.text").alias("lines")
-        )
+        blocks = F.filter(F.split(marked, BLOCK_MARK), lambda x: F.get(F.split(x, "\n"), F.lit(0)).rlike(T.CUE_TIMES))
     else:
         blocks = F.split(T.strip(body), "\\n\\s*\\n")
-        rows = files.select("rec_id", F.posexplode(blocks).alias("at", "b")).withColumn(
-            "ls", F.filter(F.split("b", "\n"), lambda x: ~T.is_blank(x))
-        )
+    rows = files.select("rec_id", F.posexplode(blocks).alias("at", "b")).withColumn("ls", F.split("b", "\n"))
+    cues = _cues_of_blocks(rows, dialect, "at")
+    order = ["start_ms", "at"] if dialect == "tolerant" else ["at"]
+    # One recording's cues come from one row of the file table, so this window is that small.
+    w = Window.partitionBy("rec_id").orderBy(*order)
+    return cues.withColumn("cue_no", F.row_number().over(w).cast("bigint")).select(*CUE_COLUMNS)
+
+
+def _cues_of_blocks(blocks: DataFrame, dialect: str, *keep: str) -> DataFrame:
+    """blocks(rec_id, ls) to their cues; blocks without a time or without text give none."""
+    if dialect == "tolerant":
+        rows = blocks.withColumn("time", F.get("ls", F.lit(0)))
+        text = F.filter(F.slice("ls", F.lit(2), F.size("ls")), lambda t: (t != "") & ~t.rlike("(?U)^\\d+\\z"))
+        rows = rows.withColumn("lines", text).filter(F.size("lines") > 0)
+    else:
+        rows = blocks.withColumn("ls", F.filter("ls", lambda x: ~T.is_blank(x)))
         first = F.get("ls", F.lit(0)).rlike(T.CUE_TIMES)
         second = F.get("ls", F.lit(1)).rlike(T.CUE_TIMES)
         at = F.when(first, 1).when(second, 2)
@@ -129,21 +140,40 @@ def parse_subtitles(files: DataFrame, dialect: str = "tolerant") -> DataFrame:
         )
         text = F.array_join(F.transform(F.slice("ls", F.col("t") + 1, F.size("ls")), T.strip), " ")
         rows = rows.withColumn("lines", F.array(text)).filter(F.col("lines")[0] != "")
-    cues = rows.select(
-        "rec_id", "at", T.parse_clock("time", 1).alias("start_ms"),
-        T.parse_clock("time", 5).alias("end_ms"), "lines",
-    )
-    order = ["start_ms", "at"] if dialect == "tolerant" else ["at"]
-    # One recording's cues come from one row of the file table, so this window is that small.
-    w = Window.partitionBy("rec_id").orderBy(*order)
-    return cues.withColumn("cue_no", F.row_number().over(w).cast("bigint")).select(
-        "rec_id", "cue_no", "start_ms", "end_ms", "lines"
+    return rows.select(
+        "rec_id", *keep, T.parse_clock("time", 1).alias("start_ms"), T.parse_clock("time", 5).alias("end_ms"), "lines"
     )
 
 
-def read_subtitles(spark: SparkSession, path: str, dialect: str = "tolerant") -> DataFrame:
-    files = _whole_files(spark, path).select(rec_of("path").alias("rec_id"), "body")
-    return parse_subtitles(files, dialect)
+def read_subtitles(
+    spark: SparkSession, path: str, dialect: str = "tolerant", rec: Callable[[Column], Column] | None = None, **options: str
+) -> DataFrame:
+    """Subtitle files to cues as ``parse_subtitles`` gives them, read in splits.
+
+    ``rec`` names the recording of a file path, by default the file's name; files of one recording are read one after
+    the other in path order. Each line learns the last mark at or before it (time or blank line) inside its split, from
+    one row a split across borders; the lines of a block then meet by their mark. A file is nowhere in one task.
+    """
+    raw = text_lines(spark, path, **options)
+    value = F.replace(F.col("value"), F.lit(BOM), F.lit(""))
+    if dialect == "tolerant":
+        value = F.regexp_replace(F.replace(value, F.lit(BLOCK_MARK), F.lit("")), "(?U)\\s+\\z", "")
+    lines = raw.select((rec or rec_of)(F.col("file")).alias("rec_id"), "file", "block", "ticket", value.alias("value"))
+    timed = F.col("value").rlike(T.CUE_TIMES) & F.lit(dialect == "tolerant")
+    blank = F.col("value").rlike("^\\s*\\z")
+    place = ["file", "block", "ticket"]
+    mark = F.when(timed | blank, F.struct(*place, timed.alias("timed")))
+    # An empty file part and one that begins inside a block both look back to the split before.
+    marked = running(lines.withColumn("blank", blank), ["rec_id"], place, F.struct("file", "block"), [Running("mark", "last", mark)])
+    inside = marked.filter("not blank")
+    if dialect == "tolerant":
+        inside = inside.filter("mark.timed")
+    blocks = inside.groupBy("rec_id", "mark").agg(
+        F.array_sort(F.collect_list(F.struct(*place, "value"))).alias("rows")
+    ).select("rec_id", F.col("rows")[0].alias("first"), F.col("rows.value").alias("ls"))
+    cues = _cues_of_blocks(blocks.select("rec_id", "ls", *[F.col(f"first.{c}").alias(c) for c in place]), dialect, *place)
+    order, shard = (["start_ms", *place], time_shard("start_ms")) if dialect == "tolerant" else (place, F.struct("file", "block"))
+    return numbered(cues, ["rec_id"], order, shard, "cue_no").select(*CUE_COLUMNS)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -53,6 +53,40 @@ def test_a_time_line_ends_the_cue_before_it(spark):
     assert got == [("r", 1, 1000, ["first", "  more"]), ("r", 2, 3000, ["second"]), ("r", 3, 7000, ["last"])]
 
 
+@pytest.mark.parametrize("dialect", ["tolerant", "strict"])
+def test_subtitles_read_in_splits(spark, tmp_path, dialect):
+    rnd = random.Random(8)
+    pieces = [
+        "", " \t", "\u3000", "7", "text", "more text ", "  lead", "\ufeff12", "00:00:0{},5 --> 00:00:09.000", "x 0:0:{},120 --> 0:1:2,3 y",
+    ]
+    bodies = {"r\u00e9c": SRT, "empty": "", "blank": "\n\n \r\n", "open": "no time\nat all"}
+    for n in range(12):
+        lines = [rnd.choice(pieces).format(rnd.randrange(10)) for _ in range(rnd.randrange(1, 60))]
+        bodies[f"r{n}"] = "".join(x + rnd.choice(["\n", "\r\n", "\r"]) for x in lines) + rnd.choice(["", "tail"])
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.srt").write_bytes(body.encode())
+    files = spark.createDataFrame(list(bodies.items()), "rec_id string, body string")
+    want = sorted(map(tuple, R.parse_subtitles(files, dialect).collect()))
+    assert len(want) > 20
+    try:
+        for size in ("40", "333", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert sorted(map(tuple, R.read_subtitles(spark, str(tmp_path), dialect).collect())) == want
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+        assert R.text_lines(spark, str(tmp_path)).select("file", "block").distinct().count() > 40
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_recording_in_several_files(spark, tmp_path):
+    folder = tmp_path / "rec_id=a"
+    folder.mkdir()
+    (folder / "part-0.txt").write_text("00:00:01,000 --> 00:00:02,000\nfirst\n")
+    (folder / "part-1.txt").write_text("goes on\n\n00:00:03,000 --> 00:00:04,000\nsecond\n")
+    got = R.read_subtitles(spark, str(tmp_path), rec=lambda path: F.regexp_extract(path, "rec_id=([^/]*)/", 1), recursiveFileLookup="true")
+    assert [(r.rec_id, r.cue_no, r.lines) for r in got.orderBy("cue_no").collect()] == [("a", 1, ["first", "goes on"]), ("a", 2, ["second"])]
+
+
 def test_documents_utf8_gbk_and_errors(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("知识".encode("gbk") + b"\xff")
     (tmp_path / "b.MD").write_text("# 标题", encoding="utf-8")
