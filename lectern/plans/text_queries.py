@@ -258,6 +258,30 @@ def embed_sentences(spark, d):
     )
 
 
+# The vectors of chunks and questions by slot, their products, and the three best chunks of every question.
+_FOUND = _CHUNKS + f""", named AS (SELECT concat('doc', doc_id, '#', digest, '#', chunk) AS chunk_id, concat('doc', doc_id) AS source, chunk::INT AS chunk, text FROM idx),
+texts AS (SELECT 'c' AS side, chunk_id AS id, text FROM named UNION ALL
+ SELECT 'q', item_id::VARCHAR, concat('{N.QUERY_INSTRUCTION}', trim(text, ' ' || chr(10))) FROM benchmark WHERE trim(text, ' ' || chr(10)) <> ''),
+pairs AS (SELECT *, unnest(range(1, length(text))) AS i FROM texts),
+slots AS (SELECT side, id, (unicode(text[i]) * 31 + unicode(text[i + 1])) % {DIMS} AS slot, count(*) AS n FROM pairs GROUP BY ALL),
+units AS (SELECT side, id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY side, id)) AS x FROM slots),
+weights AS (SELECT side, id, slot, (x / sqrt(sum(x * x) OVER (PARTITION BY side, id)))::FLOAT::DOUBLE AS x FROM units),
+dots AS (SELECT a.id AS query_id, e.id AS chunk_id, round(sum(a.x * e.x), 9) AS dot FROM weights a JOIN weights e USING (slot)
+ WHERE a.side = 'q' AND e.side = 'c' GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, chunk_id) AS rank FROM dots),
+hit AS (SELECT query_id::BIGINT AS query_id, rank, source, chunk, round(greatest(0, dot), 4) AS score, text
+ FROM ranked JOIN named USING (chunk_id) WHERE rank <= 3 AND round(greatest(0, dot), 4) >= {N.MIN_SCORE}),
+origin AS (SELECT query_id, string_agg(source, '|' ORDER BY r) AS sources FROM (SELECT query_id, source, min(rank) AS r FROM hit GROUP BY 1, 2) GROUP BY 1),
+clipped AS (SELECT *, replace(trim(text, ' ' || chr(10)), chr(10), ' ') AS t FROM hit),
+shown AS (SELECT query_id, string_agg(concat('【', source, '】', CASE WHEN length(t) <= {D.SNIPPET_CHARS} THEN t
+  ELSE concat(substring(t, 1, {D.SNIPPET_CHARS}), '…') END), chr(10) || chr(10) ORDER BY rank) AS snippets,
+ string_agg(concat('【资料', rank, '｜来源：', source, '｜相似度', score::VARCHAR, '】', chr(10), text), chr(10) || chr(10) ORDER BY rank) AS materials
+ FROM clipped GROUP BY 1),
+aged AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations WHERE length(text) > 0),
+past AS (SELECT conv_id, count(*) AS n FROM aged WHERE age <= 2 * {D.PROMPT_TURNS} AND role IN ('user', 'assistant') AND trim(text, ' ' || chr(10)) <> '' GROUP BY 1)
+"""
+
+
 def _hits(spark, d):
     """Hits of every benchmark item, as a question, among the chunks of all documents."""
     docs = B.documents(spark, d).select(F.concat(F.lit("doc"), F.col("doc_id")).alias("source"), "text")
@@ -270,13 +294,16 @@ def _hits(spark, d):
     return questions, hits
 
 
-@query()
+@query(_FOUND + f"SELECT query_id, rank, source, chunk, score, substring(text, 1, {D.PREVIEW_CHARS}) AS text FROM hit")
 def answer_hits(spark, d):
     _, hits = _hits(spark, d)
     return D.hit_previews(hits.select("query_id", "rank", "source", "chunk", "score", "text"))
 
 
-@query()
+@query(_FOUND + f"""SELECT item_id AS query_id, CASE WHEN materials IS NULL THEN '{D.NOTHING_FOUND}' END AS answer, coalesce(sources, '') AS sources,
+ CASE WHEN materials IS NOT NULL THEN 2 + coalesce(n, 0) END::INT AS n_messages,
+ CASE WHEN materials IS NOT NULL THEN concat('《知识库资料》', chr(10), materials, chr(10), chr(10), '用户问题：', benchmark.text) END AS ask
+FROM benchmark LEFT JOIN shown ON item_id = shown.query_id LEFT JOIN origin ON item_id = origin.query_id LEFT JOIN past ON item_id = conv_id""")
 def answer_context(spark, d):
     questions, hits = _hits(spark, d)
     asked = questions.withColumn("session_id", F.col("query_id"))
@@ -287,7 +314,9 @@ def answer_context(spark, d):
     )
 
 
-@query()
+@query(_FOUND + f"""SELECT item_id AS query_id, CASE WHEN snippets IS NULL THEN '{D.NOTHING_FOUND}'
+ ELSE concat('{D.NO_ANSWERER}', chr(10), chr(10), snippets) END AS answer, coalesce(sources, '') AS sources
+FROM benchmark LEFT JOIN shown ON item_id = shown.query_id LEFT JOIN origin ON item_id = origin.query_id""")
 def retrieval_fallback(spark, d):
     questions, hits = _hits(spark, d)
     out = D.context_prompt(questions, hits, has_answerer=False)
