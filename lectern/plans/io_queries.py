@@ -49,6 +49,53 @@ def manifest_round_trip(spark, d):
     return R.read_manifest(spark, path)
 
 
+@query(f"""WITH {Q.SENTENCES} SELECT 'a' AS system, uid, trim({Q.SYSTEM_A}) AS text FROM sent WHERE {Q.DECODED} UNION ALL
+SELECT 'b', uid, trim({Q.SYSTEM_B}) FROM sent WHERE {Q.DECODED}""")
+def hypotheses_round_trip(spark, d):
+    """A file of hypotheses per system, and back."""
+    path = scratch_path(spark, "hyps")
+    heard = [B.hypotheses(spark, d, s).withColumn("system", F.lit(s)) for s in "ab"]
+    K.write_hypotheses(heard[0].unionByName(heard[1]), path, ["system"])
+    read = [R.read_uid_text(spark, f"{path}/system={s}").withColumn("system", F.lit(s)) for s in "ab"]
+    return read[0].unionByName(read[1]).select("system", "uid", "text")
+
+
+@query(f"""SELECT lang AS split, concat('d', doc_id) AS uid, concat('audio/', doc_id, '.wav') AS path, trim({_ONE_LINE}) AS text
+FROM documents WHERE {_ONE_LINE} <> ''""")
+def manifest_lists_round_trip(spark, d):
+    """Lists of audio files and of texts per language, paired again by their ids."""
+    path = scratch_path(spark, "lists")
+    docs = B.documents(spark, d).select(
+        F.col("lang").alias("split"), F.concat(F.lit("d"), "doc_id").alias("utt_id"),
+        F.concat(F.lit("audio/"), "doc_id", F.lit(".wav")).alias("path"), _one_line().alias("text"),
+    )
+    K.write_manifests(docs, path)
+    text = R.read_manifest(spark, f"{path}/text").withColumnRenamed("path", "text")
+    split = spark.read.text(f"{path}/wav").select("split", F.split("value", " ")[0].alias("uid"))
+    return R.read_manifest(spark, f"{path}/wav").join(text, "uid").join(split, "uid").select("split", "uid", "path", "text")
+
+
+_SPOKEN = "replace(text, chr(10), ' ')"
+
+
+@query(f"""SELECT conv_id::VARCHAR AS rec, count(*) AS n, md5(string_agg(concat('【', role, '】', {_SPOKEN}), chr(10) ORDER BY turn)) AS digest
+FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
+def transcript_lines(spark, d):
+    """A transcript per conversation; the part files of one hold its lines in order."""
+    path = scratch_path(spark, "transcripts")
+    said = B.table(spark, d, "conversations").filter("text is not null").select(
+        F.col("conv_id").alias("rec_id"), F.col("turn").alias("seg_no"), F.col("role").alias("speaker"),
+        F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"),
+    )
+    K.write_transcript(said, path)
+    lines = R.text_lines(spark, path).withColumn("rec", F.regexp_extract("file", "/rec_id=([^/]*)/", 1))
+    # A conversation has a handful of lines.
+    told = F.array_sort(F.collect_list(F.struct("file", "block", "ticket", "value")))
+    return lines.groupBy("rec").agg(told.alias("told")).select(
+        "rec", F.size("told").cast("bigint").alias("n"), F.md5(F.array_join("told.value", "\n")).alias("digest")
+    )
+
+
 @query(f"""WITH {Q.CUES} SELECT concat('rec_id=', rec_id) AS rec, start_ms, end_ms, text FROM cues""")
 def srt_round_trip(spark, d):
     """Subtitle files per recording, written strictly and parsed back tolerantly."""
