@@ -243,7 +243,21 @@ def sentence_spans(spark, d):
     return C.sentence_spans(chars)
 
 
-@query()
+# A character lasts 100 ms (a segment 200 at least), so every line advances: ends are shares of the segment, the last its end. Lines as in
+# break_lines_greedy: without soft characters a long clause is cut every 15.
+@query(rf"""WITH {Q.SENTENCES}, t AS (SELECT doc_id, sent_no * 100 + piece AS seg_no, trim(text) AS t, sent_no * 100000 + piece * 40000 + 1500 AS s,
+ sent_no * 100000 + piece * 40000 + greatest(200, length(text) * 100) + 1500 AS e FROM sent WHERE trim(text) <> ''),
+c AS (SELECT *, regexp_extract_all(t, '[^{L.CLOSING_MARKS}]*[{L.CLOSING_MARKS}]+|[^{L.CLOSING_MARKS}]+') AS l FROM t),
+p AS (SELECT doc_id, seg_no, s, e, string_split(list_reduce(list_prepend('', l), lambda a, x: CASE WHEN length(split_part(a, chr(1), -1)) + length(x) <= 15
+ THEN concat(a, x) ELSE concat(a, CASE WHEN a = '' THEN '' ELSE chr(1) END, array_to_string(regexp_extract_all(x, '(?s).{{1,15}}'), chr(1))) END), chr(1)) AS l FROM c),
+u AS (SELECT doc_id, seg_no, s, e, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM p),
+w AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id, seg_no ORDER BY i) AS used, sum(length(line)) OVER (PARTITION BY doc_id, seg_no) AS total,
+ max(i) OVER (PARTITION BY doc_id, seg_no) AS last FROM u),
+x AS (SELECT doc_id, seg_no, i, line, CASE WHEN i = 1 THEN s ELSE s + trunc((e - s) * (used - length(line)) / total) END::BIGINT AS start_ms,
+ CASE WHEN i = last THEN e ELSE s + trunc((e - s) * used / total) END::BIGINT AS end_ms FROM w),
+y AS (SELECT *, row_number() OVER d AS cue_no, lead(start_ms) OVER d AS following FROM x WINDOW d AS (PARTITION BY doc_id ORDER BY seg_no, i))
+SELECT doc_id AS rec_id, cue_no, start_ms, (CASE WHEN following IS NULL THEN end_ms + {C.TAIL_MS}
+ ELSE least(end_ms + {C.TAIL_MS}, greatest(following - 1, start_ms + {C.MIN_SHOW_MS})) END)::BIGINT AS end_ms, line AS text FROM y""")
 def generated_cues(spark, d):
     """Sentences to display cues: line breaking, time allocation, lingering end times."""
     segs = B.sentences(spark, d).select(
