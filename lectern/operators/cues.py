@@ -437,23 +437,20 @@ def allocate_by_weight(segments: DataFrame, weight) -> DataFrame:
     ``weight`` maps a line to its weight. Lines live in one row per segment, so cumulative sums
     are array folds without a shuffle. Times stay fractional.
     """
-    weighted = segments.withColumn("_w", F.transform("lines", lambda x: weight(x).cast("double")))
-    with_total = weighted.withColumn(
-        "_total", F.aggregate("_w", F.lit(0.0), lambda a, x: a + x)
-    )
-    rows = with_total.select("*", F.posexplode("lines").alias("line_no", "line"))
+    weights = F.transform("lines", lambda x: weight(x).cast("double"))
+    # Each line comes with the sums before and after it, so the sums are made once a segment.
+    sums = F.aggregate(weights, F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    summed = segments.withColumn("_sums", sums).withColumn("_total", F.element_at("_sums", -1))
+    each = F.transform("lines", lambda x, i: F.struct(x.alias("line"), F.get("_sums", i).alias("before"), F.get("_sums", i + 1).alias("upto")))
+    rows = summed.select("*", F.posexplode(each).alias("line_no", "_x"))
     span = F.col("end_ms") - F.col("start_ms")
-
-    def upto(n: Column) -> Column:
-        return F.aggregate(F.slice("_w", F.lit(1), n), F.lit(0.0), lambda a, x: a + x)
-
     kept = [c for c in segments.columns if c not in ("lines", "start_ms", "end_ms")]
     return rows.select(
         *kept,
         "line_no",
-        "line",
-        (F.col("start_ms") + span * upto(F.col("line_no")) / F.col("_total")).alias("start_ms"),
-        (F.col("start_ms") + span * upto(F.col("line_no") + 1) / F.col("_total")).alias("end_ms"),
+        F.col("_x.line").alias("line"),
+        (F.col("start_ms") + span * F.col("_x.before") / F.col("_total")).alias("start_ms"),
+        (F.col("start_ms") + span * F.col("_x.upto") / F.col("_total")).alias("end_ms"),
     )
 
 

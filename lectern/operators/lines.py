@@ -42,14 +42,15 @@ def break_lines_greedy(text: Column | str, max_len: int = GREEDY_MAX) -> Column:
     t = T.strip(F.coalesce(T.col(text), F.lit("")))
     marks, others = T.char_class(CLOSING_MARKS), T.char_class(CLOSING_MARKS, negate=True)
     clauses = F.regexp_extract_all(t, F.lit(f"{others}*{marks}+|{others}+"), F.lit(0))
+    cut_up = lambda c: F.when(F.length(c) <= max_len, F.array(c)).otherwise(F.regexp_extract_all(c, F.lit(piece), F.lit(0)))
     half = max_len // 2
     soft = T.char_class(SOFT_CUT_CHARS)
     # Longest first: the rest if it fits, else up to the last soft character, else a full line.
     piece = f"(?s).{{1,{max_len}}}\\z|.{{{half},{max_len - 1}}}{soft}|.{{{max_len}}}"
 
     def step(a: Column, clause: Column) -> Column:
-        fits = F.length(a["cur"]) + F.length(clause) <= max_len
-        cut = F.regexp_extract_all(clause, F.lit(piece), F.lit(0))
+        fits = F.length(a["cur"]) + F.length(clause["whole"]) <= max_len
+        cut = clause["cut"]
         flushed = F.concat(
             a["lines"],
             F.when(a["cur"] == "", _no_lines()).otherwise(F.array(a["cur"])),
@@ -57,12 +58,12 @@ def break_lines_greedy(text: Column | str, max_len: int = GREEDY_MAX) -> Column:
         )
         return F.struct(
             F.when(fits, a["lines"]).otherwise(flushed).alias("lines"),
-            F.when(fits, F.concat(a["cur"], clause)).otherwise(F.element_at(cut, -1)).alias("cur"),
+            F.when(fits, F.concat(a["cur"], clause["whole"])).otherwise(F.element_at(cut, -1)).alias("cur"),
         )
 
     start = F.struct(_no_lines().alias("lines"), F.lit("").alias("cur"))
     packed = F.aggregate(
-        clauses, start, step,
+        F.transform(clauses, lambda c: F.struct(c.alias("whole"), cut_up(c).alias("cut"))), start, step,
         lambda a: F.when(a["cur"] == "", a["lines"]).otherwise(F.concat(a["lines"], F.array(a["cur"]))),
     )
     return F.when(t == "", _no_lines()).when(F.length(t) <= max_len, F.array(t)).otherwise(packed)
