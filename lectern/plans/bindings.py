@@ -46,6 +46,14 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(uid.alias("uid"), "doc_id", "source", "lang", "sent_no", "piece", "text")
 
 
+def whole_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences uncut, so that a search term is found wherever it stands: uid is ``<source>_<doc id>_<sentence>``."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
+    units = docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "[.!?\\n]")).alias("sent_no", "s"))
+    said = units.withColumn("text", F.trim("s")).filter("text <> ''")
+    return said.select(F.concat_ws("_", "source", "doc_id", "sent_no").alias("uid"), "doc_id", "source", "lang", "sent_no", "text")
+
+
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(spark, sf_dir).withColumnRenamed("text", "ref")
 

@@ -26,6 +26,13 @@ sent AS (SELECT concat_ws('_', source, doc_id, sent_no, piece) AS uid, doc_id, s
                 piece, substring(s, (piece * 400 + 1)::INT, 400) AS text FROM _p)
 """
 
+WHOLE_SENTENCES = r"""
+_u AS (SELECT doc_id, source, lang, regexp_split_to_array(text, '[.!?\n]') AS p FROM documents),
+_s AS (SELECT doc_id, source, lang, i AS sent_no, trim(p[i + 1]) AS text
+       FROM (SELECT *, unnest(range(0, len(p))) AS i FROM _u)),
+sent AS (SELECT concat_ws('_', source, doc_id, sent_no) AS uid, doc_id, source, lang, sent_no, text FROM _s WHERE text <> '')
+"""
+
 SYSTEM_A = "replace(text, 'tion', 'shun')"
 SYSTEM_B = "replace(replace(text, 'tion', 'shun'), 'th', 'd')"
 DECODED = "doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"

@@ -20,24 +20,24 @@ from lectern.plans.registry import query
 from lectern.session import materialise, scratch_path
 
 _KEYWORDS = """kw AS (SELECT DISTINCT lower(array_to_string((string_split(trim(text), ' '))[1:2], ' ')) AS keyword FROM benchmark)"""
-_EXACT = f"""WITH {Q.SENTENCES}, {_KEYWORDS}, ex AS (SELECT uid, doc_id, keyword FROM sent JOIN kw ON contains(lower(text), keyword))"""
+_EXACT = f"""WITH {Q.WHOLE_SENTENCES}, {_KEYWORDS}, ex AS (SELECT uid, doc_id, keyword FROM sent JOIN kw ON contains(lower(text), keyword))"""
 
 
 @query(_EXACT + "SELECT uid, keyword FROM ex")
 def keyword_exact(spark, d):
-    return K.match_exact(B.sentences(spark, d), B.keywords(spark, d)).select("uid", "keyword")
+    return K.match_exact(B.whole_sentences(spark, d), B.keywords(spark, d)).select("uid", "keyword")
 
 
 @query(_EXACT + "SELECT uid, keyword FROM ex")
 def keyword_exact_joined(spark, d):
     """The gram-join plan that long keyword lists take."""
-    segments = B.sentences(spark, d)
+    segments = B.whole_sentences(spark, d)
     return K._match_grams(segments, K.distinct_keywords(B.keywords(spark, d))).select("uid", "keyword")
 
 
 @query(_EXACT + """SELECT uid, count(*) AS n, string_agg(keyword, '|' ORDER BY keyword) AS keywords FROM ex GROUP BY uid""")
 def matched_group(spark, d):
-    hits = K.match_exact(B.sentences(spark, d), B.keywords(spark, d)).select(
+    hits = K.match_exact(B.whole_sentences(spark, d), B.keywords(spark, d)).select(
         "uid", "keyword", F.lit("exact").alias("match_type"), F.lit(100.0).alias("similarity")
     )
     out = K.matched_segments(hits, ["uid"])
@@ -47,13 +47,13 @@ def matched_group(spark, d):
 @query(_EXACT + """SELECT (SELECT count(*) FROM sent) AS total_segments, (SELECT count(DISTINCT doc_id) FROM sent) AS total_files,
  count(DISTINCT uid) AS matched_segments, count(DISTINCT doc_id) AS matched_files FROM ex""")
 def search_summary(spark, d):
-    segments = B.sentences(spark, d)
+    segments = B.whole_sentences(spark, d)
     return K.search_summary(segments, K.match_exact(segments, B.keywords(spark, d)), "doc_id", ["doc_id", "uid"])
 
 
 @query()
 def keyword_fuzzy(spark, d):
-    return K.search_keywords(B.sentences(spark, d), B.keywords(spark, d), ["uid"], 75)
+    return K.search_keywords(B.whole_sentences(spark, d), B.keywords(spark, d), ["uid"], 75)
 
 
 @query(r"""SELECT event_id, array_to_string(list_sort(list_distinct([trim(t) FOR t IN string_split(props, ',') IF trim(t) <> ''])), '|') AS terms FROM events""")
@@ -71,7 +71,7 @@ def _terms(spark, d) -> list[str]:
 
 @query()
 def term_fixes(spark, d):
-    out = X.correct_terms(B.sentences(spark, d), ["uid", "doc_id"], _terms(spark, d))
+    out = X.correct_terms(B.whole_sentences(spark, d), ["uid", "doc_id"], _terms(spark, d))
     return out.filter(F.size("fixes") > 0).select(
         "uid", "text", F.size("fixes").alias("n"), F.element_at("fixes", 1)["from"].alias("first_from"),
         F.element_at("fixes", 1)["to"].alias("first_to"),
@@ -80,15 +80,15 @@ def term_fixes(spark, d):
 
 @query()
 def distinct_fixes(spark, d):
-    out = X.correct_terms(B.sentences(spark, d), ["uid", "doc_id"], _terms(spark, d))
+    out = X.correct_terms(B.whole_sentences(spark, d), ["uid", "doc_id"], _terms(spark, d))
     return X.distinct_fixes(out, "doc_id", ["uid"])
 
 
-@query(f"""WITH {Q.SENTENCES} SELECT uid, length(text) = length(text) AS same_length FROM sent""")
+@query(f"""WITH {Q.WHOLE_SENTENCES} SELECT uid, length(text) AS chars FROM sent""")
 def term_lengths_kept(spark, d):
-    segments = B.sentences(spark, d).select("uid", "text", F.length("text").alias("before"))
-    out = X.correct_terms(segments, ["uid", "before"], _terms(spark, d))
-    return out.select("uid", (F.length("text") == F.col("before")).alias("same_length"))
+    """The lengths of corrected texts are those of the given ones."""
+    out = X.correct_terms(B.whole_sentences(spark, d), ["uid"], _terms(spark, d))
+    return out.select("uid", F.length("text").alias("chars"))
 
 
 # A letter's syllable is the letter and an i. An s is no initial, so si against zi are finals that share one letter of
@@ -325,7 +325,7 @@ def retrieval_fallback(spark, d):
 
 # Lexical hits, so that prompt assembly has an exact twin: the question is a search term and its
 # materials are the first three sentences that hold it.
-_PICKED = f"""{Q.SENTENCES}, {_KEYWORDS},
+_PICKED = f"""{Q.WHOLE_SENTENCES}, {_KEYWORDS},
 k AS (SELECT keyword AS query_id, row_number() OVER (PARTITION BY keyword ORDER BY uid) AS rank, source, text
  FROM sent JOIN kw ON contains(lower(text), keyword)),
 c AS (SELECT keyword AS query_id, concat('what about ', keyword) AS question FROM kw),
@@ -339,7 +339,7 @@ def _picked(spark, d):
     )
     w = Window.partitionBy("query_id").orderBy("uid")
     hits = (
-        K.match_exact(B.sentences(spark, d), words).withColumnRenamed("keyword", "query_id")
+        K.match_exact(B.whole_sentences(spark, d), words).withColumnRenamed("keyword", "query_id")
         .withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
         .select("query_id", "rank", "source", "text", F.lit("0.5").alias("score"))
     )

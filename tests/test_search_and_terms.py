@@ -53,6 +53,7 @@ def _random(n, longest, seed):
 @pytest.mark.parametrize("threshold", [50, 75, 90])
 @pytest.mark.parametrize("blocks", [False, True])
 def test_fuzzy_search_equals_brute_force(spark, monkeypatch, threshold, blocks):
+    monkeypatch.setattr(K, "BATCH_CHARS", 90)
     if blocks:
         monkeypatch.setattr(K, "BLOCK_KEYWORDS", 3)
         monkeypatch.setattr(K, "BLOCK_SEGMENTS", 20)
@@ -138,7 +139,8 @@ def test_pronunciation_join_equals_the_helper(spark):
     assert [(r.pair_id, round(r.similarity, 1)) for r in got] == [(1, 56.7)]
 
 
-def test_corrections_equal_a_sequential_scan(spark):
+def test_corrections_equal_a_sequential_scan(spark, monkeypatch):
+    monkeypatch.setattr(K, "BATCH_CHARS", 70)
     texts, words = _random(80, 18, 12), [w for w in _random(10, 5, 13) if len(w) > 1 and " " not in w]
 
     def scan(text):
