@@ -116,4 +116,7 @@ for _query in (
 ):
     QUERIES[_query.__name__] = _query
 
-ORACLES |= {"op1_quality_rules": twins.quality_sql(), "op6_decontaminate": twins.decontaminate_sql(), "op12_substring_dedup": twins.substring_sql()}
+ORACLES |= {
+    "op1_quality_rules": twins.quality_sql(), "op2_warc_fixity": twins.fixity_sql(), "op6_decontaminate": twins.decontaminate_sql(),
+    "op12_substring_dedup": twins.substring_sql(),
+}

@@ -123,3 +123,20 @@ def substring_sql() -> str:
     SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
     FROM given LEFT JOIN kept USING (row_no)
     """
+
+
+def fixity_sql() -> str:
+    """Records of the pages, their places and hashes, and the damage that the query does to its replica.
+
+    Page ids are unique, as in the given tables, and a page ends in a character of one byte.
+    """
+    # CRC-32 over the characters of a short ASCII string: each is added to the register, which then takes eight steps.
+    crc32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[unicode(k)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+ FOR k IN string_split({0}, '')])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+    return rf"""WITH r AS (SELECT page_id, concat('pages-', page_id // 1000, '.warc') AS archive, concat(E'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:',
+ page_id, E'>\r\nWARC-Target-URI: ', url, E'\r\nContent-Type: text/html\r\nContent-Length: ', strlen(coalesce(html, '')), E'\r\n\r\n', html, E'\r\n\r\n') AS record FROM pages),
+p AS (SELECT *, strlen(record) AS n_bytes, (sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id) - strlen(record))::BIGINT AS "offset",
+ {crc32.format('archive')} % 5 = 0 AND page_id % 1000 >= 900 AS gone, {crc32.format('page_id::VARCHAR')} % 50 = 7 AS flipped FROM r),
+q AS (SELECT *, CASE WHEN flipped THEN concat(substring(record, 1, length(record) - 5), '?', substring(record, length(record) - 3, 4)) ELSE record END AS other FROM p)
+SELECT archive, "offset", n_bytes, CASE WHEN gone THEN 'missing' ELSE 'changed' END AS problem, sha256('\x00'::BLOB || encode(record)) AS hash_a,
+ CASE WHEN NOT gone THEN sha256('\x00'::BLOB || encode(other)) END AS hash_b, page_id FROM q WHERE gone OR record <> other"""
