@@ -201,9 +201,12 @@ def chunks_of(
     return F.when(t == "", _no_lines()).otherwise(_visible(cut))
 
 
-def generate_cues(segments: DataFrame, offset_s: float = 0.0, max_len: int = GREEDY_MAX) -> DataFrame:
+def generate_cues(
+    segments: DataFrame, offset_s: float = 0.0, max_len: int = GREEDY_MAX, shard: Column | None = None
+) -> DataFrame:
     """Segments to display cues: time offset, greedy lines, character-exact times where known,
-    lingering end times. Columns: rec_id, cue_no, start_ms, end_ms, text."""
+    lingering end times. ``seg_no`` is unique in a recording; ``shard`` follows it (1024 numbers a shard by default).
+    Columns: rec_id, cue_no, start_ms, end_ms, text."""
     off = int(round(offset_s * 1000))
     max_len = max(5, max_len)
     segs = segments.withColumn("text", T.strip(F.coalesce("text", F.lit("")))).filter("text <> ''")
@@ -224,7 +227,7 @@ def generate_cues(segments: DataFrame, offset_s: float = 0.0, max_len: int = GRE
     rows = exact.unionByName(spread).withColumnRenamed("line", "text")
     # Display order is segment order; the clamp looks at the next line in that order.
     ordered = C.running(
-        rows, ["rec_id"], ["seg_no", "line_no"], F.floor(F.col("seg_no") / 1024).cast("bigint"),
+        rows, ["rec_id"], ["seg_no", "line_no"], F.floor(F.col("seg_no") / 1024).cast("bigint") if shard is None else shard,
         [
             C.Running("cue_no", "sum", F.lit(1).cast("bigint")),
             C.Running("_next", "lead", F.col("start_ms")),

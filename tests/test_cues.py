@@ -7,6 +7,7 @@ from lectern.operators import chains
 from lectern.operators import cues as C
 from lectern.operators import lines as L
 from lectern.operators.ordered import Running, global_rank, running, time_shard
+from lectern.plans import cue_queries as Q
 from tests import specs
 
 
@@ -199,3 +200,15 @@ def test_monotone_times_keep_fractions_and_a_given_order(spark):
     cues = spark.createDataFrame(rows, "rec_id string, cue_no long, start_ms double, end_ms double")
     got = sorted(tuple(r) for r in C.monotone_times(cues, order=["cue_no"], shard=F.floor(F.col("cue_no") / 2)).collect())
     assert got == [("q", 1, 1.0, 2.0), ("r", 1, 10.5, 20.25), ("r", 2, 20.25, 320.25), ("r", 3, 400.75, 700.75)]
+
+
+def test_generated_cues_of_many_and_of_long_sentences(spark, tmp_path):
+    """Times past 32 bits; of two pieces with one number the earlier sentence goes first, each in its own time."""
+    rows = [(1, "s", "en", "a." * 21_600), (2, "s", "en", "b" * 40_030 + ".c")]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.generated_cues(spark, str(tmp_path)).orderBy("rec_id", "cue_no").collect()
+    many, long = ([r for r in got if r.rec_id == i] for i in (1, 2))
+    assert [(r.cue_no, r.start_ms, r.text) for r in many] == [(i + 1, i * 100_000 + 1500, "a") for i in range(21_600)]
+    assert [(r.cue_no, r.start_ms, r.text) for r in long[-3:]] == [
+        (2701, 4_001_500, "b" * 15), (2702, 4_003_000, "b" * 15), (2703, 101_500, "c")
+    ]
