@@ -252,3 +252,26 @@ def test_edit_distance(spark):
     assert got == [specs.edit_distance(a, b) for a, b in pairs] + [None]
     jvm = df.filter("i < 99").orderBy("i").select(F.levenshtein("a", "b")).collect()
     assert got[:-1] == [r[0] for r in jvm]
+
+
+def test_short_texts_by_batch_equal_the_sequential_ratio():
+    texts, words = _random(300, 9, 21) + ["", None, "a\0b"], _random(12, 11, 22) + ["ab" * 17, "a\0"]
+    batch = K.TextBatch(texts, words)
+    assert batch.codes.itemsize == 1  # a byte a character while the letters are few
+    short = batch.short_texts(40)
+    for w in words:
+        n = int(np.searchsorted(short.sizes, len(w), side="right"))
+        got = batch.ratios_inside(short.codes[: len(w), :n], short.sizes[:n], w)
+        assert np.allclose(got, [_one_way(t, w) for t in short.texts[:n]])
+
+
+def test_fixes_follow_the_terms_over_blocks(spark, monkeypatch):
+    """Fixes of a row in the order of the terms, then of the text; rows without any, null texts, terms in two blocks."""
+    monkeypatch.setattr(X, "TERM_BLOCK", 1)
+    rows = [(1, "abxd abcd zz abyd"), (2, None), (3, "qq"), (4, "xyq"), (5, "")]
+    got = X.correct_terms(spark.createDataFrame(rows, "uid int, text string"), ["uid"], ["abcd", "xyz"]).orderBy("uid").collect()
+    assert [(r.uid, r.text) for r in got] == [(1, "abcd abcd zz abcd"), (2, None), (3, "qq"), (4, "xyz"), (5, "")]
+    fixes = [[(f["from"], f["to"], f["similarity"]) for f in r.fixes] for r in got]
+    assert fixes == [[("abxd", "abcd", 75.0), ("abyd", "abcd", 75.0)], [], [], [("xyq", "xyz", 66.7)], []]
+    found = X.distinct_fixes(X.correct_terms(spark.createDataFrame([*rows, (1, "abxd")], "uid int, text string"), ["uid"], ["abcd"]), "uid", [])
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "abxd", "abcd", 75.0, 2), (1, "abyd", "abcd", 75.0, 1)]
