@@ -275,3 +275,12 @@ def test_fixes_follow_the_terms_over_blocks(spark, monkeypatch):
     assert fixes == [[("abxd", "abcd", 75.0), ("abyd", "abcd", 75.0)], [], [], [("xyq", "xyz", 66.7)], []]
     found = X.distinct_fixes(X.correct_terms(spark.createDataFrame([*rows, (1, "abxd")], "uid int, text string"), ["uid"], ["abcd"]), "uid", [])
     assert sorted(tuple(r) for r in found.collect()) == [(1, "abxd", "abcd", 75.0, 2), (1, "abyd", "abcd", 75.0, 1)]
+
+
+def test_pronunciation_scores_a_pair_of_words_once(spark, monkeypatch):
+    """Pairs that repeat all come out, also under one id, and no word is exploded once a pair."""
+    monkeypatch.setattr(X, "SALTS", 3)
+    pairs = spark.range(300).selectExpr("id div 2 as pair_id", "'九九级' as cand", "'周潇齐' as term")
+    lex = spark.createDataFrame(list(LEXICON.items()), "char string, syllable string")
+    got = X.pronunciation_match(pairs, lex, compat=True)
+    assert sorted((r.pair_id, round(r.similarity, 1)) for r in got.collect()) == sorted((i // 2, 56.7) for i in range(300))
