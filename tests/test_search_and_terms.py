@@ -254,6 +254,43 @@ def test_edit_distance(spark):
     assert got[:-1] == [r[0] for r in jvm]
 
 
+def test_edit_distance_by_core_band_and_bound():
+    from lectern.functions import distance as E
+
+    rnd = random.Random(5)
+    pairs = [("a" * 70 + "tion" + "b" * 70, "a" * 70 + "shun" + "b" * 70), ("x" * 40, ""), ("seek", "siik"), ("noses", "noe")]
+    for n in [30, 33, 64, 65, 96, 97, 128, 130, 190]:
+        for edits in (1, 12, 31, 32, 60):
+            a = "".join(rnd.choice("abcde é😀") for _ in range(n))
+            b = list(a)
+            for _ in range(edits):
+                i = rnd.randrange(len(b))
+                b[i : i + rnd.randint(0, 2)] = [rnd.choice("abxy😀")] * rnd.randint(0, 2) or ["z"]
+            pairs += [(a, "".join(b)), ("".join(b), a)]
+    assert list(E.distances(*map(list, zip(*pairs)))) == [specs.edit_distance(a, b) for a, b in pairs]
+    # What two texts share at their ends is not measured, and equal cores are measured once.
+    assert E._core("nation", "nashun") == ("tio", "shu") and E._core("in", "inn") == ("", "n")
+
+
+def test_scored_texts_meet_once_a_uid(spark):
+    from lectern.operators import scoring as S
+    from lectern.plans import bindings as B
+    from tests.conftest import SMALL
+
+    refs = spark.createDataFrame([("u", "Nation."), ("v", "ab"), ("w", "c")], "uid string, ref string")
+    long = [("u", "a", "x", "nashun"), ("u", "b", "x", "nation"), ("v", "a", "x", None), ("v", "b", "x", "b")]
+    hyps = spark.createDataFrame(long, "uid string, system string, condition string, hyp string")
+    packed = hyps.groupBy("uid").agg(F.collect_list(F.struct("system", "condition", "hyp")).alias("hyps"))
+    want = S.score_pairs(refs, hyps)
+    got = S.score_variants(refs, packed).select(want.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 4
+    a, b = (hyps.filter(F.col("system") == s).select("uid", "hyp") for s in "ab")
+    both = a.withColumnRenamed("hyp", "hyp_a").join(b.withColumnRenamed("hyp", "hyp_b"), "uid")
+    pairs = S.paired_systems(refs, a, b)
+    assert sorted(S.paired_columns(refs, both).select(pairs.columns).collect()) == sorted(pairs.collect())
+    assert B.condition_hypotheses(spark, SMALL).columns == ["uid", "hyps"]
+
+
 def test_short_texts_by_batch_equal_the_sequential_ratio():
     texts, words = _random(300, 9, 21) + ["", None, "a\0b"], _random(12, 11, 22) + ["ab" * 17, "a\0"]
     batch = K.TextBatch(texts, words)
