@@ -155,6 +155,10 @@ def _best(q_ids, q_mat, c_ids, c_mat, k: int, min_score: float, skip_self: bool)
         keep = np.maximum(dots, 0.0) >= min_score - 0.0001
         if skip_self:
             keep &= q_ids[:, None] != ids[None, :]
+        if len(ids) > k:
+            # Only the k best products of a query, and their ties, are ranked by chunk id.
+            kept = np.where(keep, dots, -np.inf)
+            keep &= dots >= np.partition(kept, -k, axis=1)[:, -k, None]
         qi, ci = np.nonzero(keep)
         parts.append(pd.DataFrame({"query_id": q_ids[qi], "chunk_id": ids[ci], "dot": dots[qi, ci]}))
         parts = [_keep(pd.concat(parts), k)]

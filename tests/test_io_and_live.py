@@ -191,6 +191,13 @@ def test_context_prompt_cases(spark):
     assert plain[1].answer.startswith(D.NO_ANSWERER + "\n\n【a.md】text more\n\n【b.md】" + "x" * 200 + "…")
 
 
+def test_context_prompt_reads_the_hits_once(spark):
+    q = spark.createDataFrame([(1, "how")], "query_id int, question string")
+    hits = spark.createDataFrame([(1, 1, "a.md", "0.9", "text")], "query_id int, rank int, source string, score string, text string")
+    plan = D.context_prompt(q, hits, has_answerer=False)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("LogicalRDD") == 2
+
+
 def _fragments(spark):
     rows = [(f"s{i % 3}", i, f"2024-01-01 00:00:{i % 60:02d}", [" ", "a", "b", "c"][i % 4], i % 7 == 6) for i in range(60)]
     return spark.createDataFrame(rows, "session_id string, seq bigint, ts string, text string, is_final boolean").withColumn("ts", F.col("ts").cast("timestamp"))

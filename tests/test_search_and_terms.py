@@ -239,6 +239,32 @@ def test_embedding_has_unit_length():
     assert not hash_vector("x").any()
 
 
+def test_vectors_and_best_hits_by_batch():
+    from lectern.functions.vectors import hash_vectors
+    from lectern.operators import knowledge as N
+
+    texts = ["知识 base", "x", "", "ab" * 300, "é😀é"] * 120
+    assert (hash_vectors(texts) == np.stack([hash_vector(t) for t in texts])).all() and hash_vectors([]).shape == (0, 64)
+    rnd = np.random.default_rng(3)
+    q, c = rnd.integers(0, 3, (4, 2)) / 2.0, rnd.integers(0, 3, (200, 2)) / 2.0  # few values: many ties
+    ids, asked, kept = np.array([f"c{i:03d}" for i in range(200)]), np.array([f"c{i:03d}" for i in range(4)]), []
+    plain = N._keep
+
+    def counted(hits, k):
+        kept.append(len(hits))
+        return plain(hits, k)
+
+    N._keep = counted
+    try:
+        got = N._best(asked, q, ids, c, 3, 0.0, True)
+        spread = N._best(asked, q, ids, rnd.random((200, 2)), 3, 0.0, True)
+    finally:
+        N._keep = plain
+    want = [(a, i, d) for a, row in zip(asked, q @ c.T) for d, i in sorted(((round(d, 9), i) for d, i in zip(row, ids) if i != a), key=lambda x: (-x[0], x[1]))[:3]]
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(want)
+    assert len(spread) == 12 and kept[-1] == sum(3 if v.any() else 199 for v in q)
+
+
 def test_edit_distance(spark):
     from lectern.functions.distance import edit_distance
 
