@@ -105,6 +105,16 @@ def test_literal_and_joined_containment_agree(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) == want
 
 
+def test_joined_containment_by_blocks(spark):
+    texts = ["aaaaaaaaaa", "xABABABABab", "😀éß😀éß😀éß", "no", "ab", "a", "", "the theme then"]
+    words = ["a", "ab", "aaa", "aaaa", "abab", "ababab", "é", "ß😀é", "the theme then", "he the", "n"]
+    seg = spark.createDataFrame(list(enumerate(texts)), "uid int, text string")
+    kw = K.distinct_keywords(spark.createDataFrame([(w,) for w in words], "keyword string"))
+    found = K._match_grams(seg, kw).select("uid", "keyword")
+    assert sorted(map(tuple, found.collect())) == sorted((i, w) for i, t in enumerate(texts) for w in words if w in t.lower())
+    assert "(?=" not in found._jdf.queryExecution().analyzed().toString()  # blocks, not every place
+
+
 CASES = [
     ("就是F幺零这个排球队的蓝心妹现在怎么样", "篮球队 蓝心湄 剪映", "就是F幺零这个篮球队的蓝心湄现在怎么样"),
     ("我们在剪映里打开工程", "剪映", "我们在剪映里打开工程"),
