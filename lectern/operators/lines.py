@@ -87,7 +87,11 @@ def break_lines_punct(text: Column | str, max_len: int = LINE_MAX) -> Column:
     Text that is mostly not CJK gets 2.1 times the limit. Fragments of up to three characters
     that do not end a sentence join the line before.
     """
-    t = T.strip_tags(text)
+    # The tags go once: the rest reads the bound text.
+    return F.element_at(F.transform(F.array(T.strip_tags(text)), lambda t: _lines_of(t, max_len)), 1)
+
+
+def _lines_of(t: Column, max_len: int) -> Column:
     ends, inner = T.char_class(T.SENTENCE_END_CHARS), T.char_class(T.SENTENCE_END_CHARS, negate=True)
     clause, within = T.char_class(T.CLAUSE_CHARS), T.char_class(T.CLAUSE_CHARS, negate=True)
 

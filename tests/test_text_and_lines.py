@@ -19,6 +19,12 @@ def test_norm_and_tags(spark):
     assert _values(spark, T.strip_tags("x"), ["<|zh|><|Speech|> hi ", None]) == ["hi", ""]
 
 
+def test_breaking_lines_strips_a_text_once(spark):
+    df = spark.createDataFrame([("<|zh|> one. twofold",)], "x string").select(L.break_lines_punct("x").alias("v"))
+    assert df.first().v == ["one.", "twofold"]
+    assert df._jdf.queryExecution().analyzed().toString().count(T.RICH_TEXT_TAG) == 1
+
+
 def test_clocks(spark):
     df = spark.createDataFrame([(-5.0,), (1499.5,), (1500.5,), (3723004.0,)], "ms double")
     assert [r[0] for r in df.select(T.clock("ms")).collect()] == [
