@@ -1,5 +1,6 @@
 """Every training-data operator against brute force on a small table with nulls, empty and repeated texts and ties."""
 
+import glob
 import hashlib
 import random
 import re
@@ -22,6 +23,7 @@ from lectern.llm import (
     toxicity,
     warc_fixity,
 )
+from lectern.session import materialise
 
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Columns named like those that operators make.
@@ -517,6 +519,38 @@ def test_edit_distance_and_its_bound():
     assert tight and fuzzy_lines.span_edits("same words", "same words") == 0
 
 
+def test_pairs_that_share_a_phrase_are_settled_by_their_quarters(monkeypatch):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randrange(3, 9)))
+    phrase, a, b = " ".join(word() for _ in range(6)), [], []
+    for n in [1, 3, 8, 20, 30, 45, 60, 90, 400] * 12:
+        x = [word() for _ in range(n)]
+        for rate in (0.05, 0.15, 0.22, 1):
+            y = [word() if rng.random() < rate else w for w in x]
+            a.append(" ".join([*x, phrase]))
+            b.append(" ".join(y[1:] + [phrase] if rng.random() < 0.5 else [phrase, *y]))
+    want = [fuzzy_lines.similar(x, y) for x, y in zip(a, b)]
+    assert fuzzy_lines.all_similar(a, b).tolist() == want == fuzzy_lines.all_similar(b, a).tolist() and 50 < sum(want) < 300
+    least = fuzzy_lines.beginnings([x[:70] for x in a], b)
+    assert all(m == min(fuzzy_lines.edit_distance(x[:70], y[:j]) for j in range(150)) for m, x, y in list(zip(least, a, b))[:40])
+    measured = []
+    monkeypatch.setattr(fuzzy_lines, "distances", lambda x, y: measured.extend(x) or np.zeros(len(x), int))
+    unlike = [" ".join([*(word() for _ in range(60)), phrase, *(word() for _ in range(20))]) for _ in range(200)]
+    fuzzy_lines.all_similar(unlike[:100], unlike[100:])
+    assert len(measured) < 5
+
+
+def test_written_tables_keep_no_shuffle_files(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: sum(1 for d in env.blockManager().diskBlockManager().localDirs() for _ in glob.glob(f"{d}/*/shuffle_*"))
+    before = files()
+    table = materialise(spark.range(20000).groupBy((F.col("id") % 700).alias("k")).count(), "counts")
+    ends = time.time() + 20
+    while files() > before and time.time() < ends:
+        time.sleep(0.2)
+    assert files() <= before and table.count() == 700
+
+
 def test_fixity_audit(spark, tmp_path):
     rows = [(f"a{i % 2}", 40_000 * (i // 2), bytes([i]) * 9) for i in range(60)] + [("c", 0, b""), (None, 0, b"z")]
     a = spark.createDataFrame(rows, "archive string, offset long, record binary")
