@@ -353,3 +353,18 @@ def test_split_takes_every_eighth_in_digest_order(spark):
     got = {r.utt_id for r in A.train_val_split(df).filter("split = 'val'").collect()}
     order = sorted(range(1000), key=lambda i: hashlib.md5(f"{A.SHUFFLE_SEED}#{i}".encode()).hexdigest())
     assert got == set(order[:: A.VAL_EVERY])
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    for i in range(60):
+        (tmp_path / f"rec_id={i}").mkdir()
+        (tmp_path / f"rec_id={i}" / "part.txt").write_text(f"line {i}\n")
+    monkeypatch.setattr(R, "LISTERS", 7)
+    before, context = spark.conf.get(R.LISTING), spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    lines = R.read_text(spark, str(tmp_path), recursiveFileLookup="true")
+    context.setJobGroup("reading", "reading")
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("listing")]
+    tasks = [context.statusTracker().getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+    assert tasks and max(tasks) == 7 and spark.conf.get(R.LISTING) == before
+    assert sorted(r.value for r in lines.collect()) == sorted(f"line {i}" for i in range(60))
