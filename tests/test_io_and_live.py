@@ -368,3 +368,15 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
     tasks = [context.statusTracker().getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
     assert tasks and max(tasks) == 7 and spark.conf.get(R.LISTING) == before
     assert sorted(r.value for r in lines.collect()) == sorted(f"line {i}" for i in range(60))
+
+
+@pytest.mark.parametrize("dialect", ["tolerant", "strict"])
+def test_lines_of_a_subtitle_block_go_without_their_paths(spark, tmp_path, monkeypatch, dialect):
+    monkeypatch.setattr(R, "SHARD_LINES", 7)
+    for part in range(3):
+        (tmp_path / f"part-{part}.txt").write_text("".join(f"{i}\n00:00:{part}{i},000 --> 00:00:{part}{i},500\nsaid {part} {i}\n\n" for i in range(9)))
+    read = R.read_subtitles(spark, str(tmp_path), dialect, lambda path: F.lit("all"), maxPartitionBytes="100")
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [x.split("Aggregate", 1)[1] for x in plan.splitlines() if "collect_list(" in x]
+    assert gathered and not any("file" in x or "_shard" in x for x in gathered)
+    assert [(r.cue_no, *r.lines) for r in read.orderBy("cue_no").collect()] == [(9 * p + i + 1, f"said {p} {i}") for p in range(3) for i in range(9)]
