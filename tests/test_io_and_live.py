@@ -380,3 +380,12 @@ def test_lines_of_a_subtitle_block_go_without_their_paths(spark, tmp_path, monke
     gathered = [x.split("Aggregate", 1)[1] for x in plan.splitlines() if "collect_list(" in x]
     assert gathered and not any("file" in x or "_shard" in x for x in gathered)
     assert [(r.cue_no, *r.lines) for r in read.orderBy("cue_no").collect()] == [(9 * p + i + 1, f"said {p} {i}") for p in range(3) for i in range(9)]
+
+
+def test_texts_of_uids_that_occur_once_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "h.tsv").write_text("".join(f"u{i}\tsaid {i}\n" for i in range(40)) + "u7\tagain\n\tno uid\n\tno uid, later\n")
+    read = R.read_uid_text(spark, str(tmp_path / "h.tsv"))
+    assert {r.uid: r.text for r in read.collect()} == {f"u{i}": f"said {i}" for i in range(40)} | {"u7": "again", "": "no uid, later"}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    join = next(x for x in plan.splitlines() if "LeftAnti" in x)
+    assert "BroadcastHashJoin" in join
