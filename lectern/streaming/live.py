@@ -88,7 +88,8 @@ class InOrder(StatefulProcessor):
             earliest = min(earliest or at.min(), at.min())
         if earliest is not None:
             self.handle.registerTimer(int(earliest))
-        yield self._frame([])
+        # A frame costs as much as a session's few rows, so none is sent without rows.
+        yield from self._frames([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
@@ -114,10 +115,10 @@ class InOrder(StatefulProcessor):
             self.done.update((json.dumps(state), int(last)))
         if waiting:
             self.handle.registerTimer(int(min(r[0] for r in waiting)))
-        yield self._frame(out)
+        yield from self._frames(out)
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.fold.columns)
+    def _frames(self, rows: list[tuple]) -> list[pd.DataFrame]:
+        return [pd.DataFrame(rows, columns=self.fold.columns)] if rows else []
 
     def close(self) -> None:
         pass

@@ -4,6 +4,7 @@ import os
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,3 +390,15 @@ def test_texts_of_uids_that_occur_once_are_not_shuffled(spark, tmp_path):
     plan = read._jdf.queryExecution().executedPlan().toString()
     join = next(x for x in plan.splitlines() if "LeftAnti" in x)
     assert "BroadcastHashJoin" in join
+
+
+def test_sessions_without_rows_to_emit_send_no_frames():
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+    step = V.InOrder(V.Chunks(4), 1000, 2000)
+    step.init(Handle())
+    rows = pd.DataFrame({"ts": pd.to_datetime(["2024-01-01"]), "seq": [1], "text": ["a"], "is_final": [False]})
+    assert list(step.handleInputRows((1,), iter([rows]), None)) == []
+    assert [len(f) for f in step._frames([(1, 0, 1, "a", 1)])] == [1]
