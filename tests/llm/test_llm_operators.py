@@ -2,9 +2,11 @@
 
 import glob
 import hashlib
+import itertools
 import random
 import re
 import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -590,3 +592,52 @@ def test_pipeline_stages(spark):
         if name != names[-1]:
             assert docs.columns == first.columns
     assert set(r.d for r in docs.selectExpr("explode(doc_ids) d").collect()) <= set(r.doc_id for r in first.collect())
+
+
+def test_lines_with_a_common_phrase_are_compared_by_their_other_runs(spark, monkeypatch):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    phrase, forms = " ".join(word() for _ in range(7)), []
+    for _ in range(120):
+        words = [word() for _ in range(40)]
+        forms.append(" ".join([*words[:20], phrase, *words[20:]]))
+    # Near copies: of some of these lines, of one line that has many, and of short lines of the phrase alone.
+    unlike = len(forms)
+    forms += [x[:80] + "7" + x[81:200] + "7" + x[201:] for x in forms[:12]]
+    many = " ".join(word() for _ in range(40))
+    forms += [f"{many} {i}" for i in range(40)] + [f"{phrase} {i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "doc_id long, text string")
+    compared, confirmed = [], fuzzy_lines.confirmed
+    monkeypatch.setattr(fuzzy_lines, "confirmed", lambda pairs, *rest: compared.append(pairs.count()) or confirmed(pairs, *rest))
+    got = {r.doc_id: bool(r.removed) for r in fuzzy_lines.duplicate_lines(docs).collect()}
+    assert got == {i: i >= unlike and i not in (unlike + 12, unlike + 52) for i in range(len(forms))}
+    assert sum(compared) < 20 * len(forms)
+
+
+def test_pairs_of_a_part_hold_every_two_lines_of_a_key(spark):
+    rng = np.random.default_rng(16)
+    f = fuzzy_lines
+    keys = (f.X.mix(rng.integers(0, 40, 600).astype(np.uint64)) | np.uint64(1 << 63)).view(np.int64)
+    lines, sizes = rng.integers(-300, 300, 600), np.full(600, 100)
+    sims = f.X.mix(lines.view(np.uint64)).view(np.int64) & 31
+    batches = [f.packed(False, 3, keys[a:b], lines[a:b], sizes[a:b], None) for a, b in ((0, 200), (150, 600))]
+    batches.append(f.packed(True, 3, np.arange(600) % 90, lines, sizes, sims))
+    rows = spark.createDataFrame([tuple(r.values()) for b in batches for r in b.to_pylist()], f.PARTS)
+    want, crowds = Counter(), set()
+    groups = defaultdict(set)
+    for k, x in zip(keys.tolist(), lines.tolist()):
+        groups[k].add((x, 0))
+    for k, x, s in zip((np.arange(600) % 90).tolist(), lines.tolist(), sims.tolist()):
+        groups[k].add((x, s))
+    for k, some in groups.items():
+        if len(some) > f.COMMON:
+            crowds |= {(k >= 0, x, s) for x, s in some}
+        else:
+            want.update((min(a, b), max(a, b)) for (a, s), (b, t) in itertools.combinations(sorted(some), 2) if (s ^ t).bit_count() <= f.RADIUS)
+    got = f.met(rows).collect()
+    found = Counter()
+    for r in got:
+        if r.n:
+            found[r.a, r.b] += r.n
+    assert found == want and len(want) > 500
+    assert {(r.key >= 0, r.a, r.sim) for r in got if not r.n} == crowds
