@@ -54,6 +54,28 @@ def test_a_time_line_ends_the_cue_before_it(spark):
     assert got == [("r", 1, 1000, ["first", "  more"]), ("r", 2, 3000, ["second"]), ("r", 3, 7000, ["last"])]
 
 
+CUE = "rec_id string, cue_no int, start_ms bigint, end_ms bigint, text string"
+
+
+def test_styled_subtitles_of_recordings_with_nothing_to_show(spark, tmp_path):
+    cues = [("r", i, i * 10, i * 10 + 5, f"t{i}\nx") for i in range(1, 41)]
+    cues += [("gaps", 1, 0, 5, "\u200b"), ("gaps", 2, 5, 9, "\u200b"), ("silent", 1, 0, 5, " "), ("silent", 2, 5, 9, None)]
+    K.write_ass(spark.createDataFrame(cues, CUE), str(tmp_path / "out"))
+    got = {}
+    for part in sorted((tmp_path / "out").glob("rec_id=*/*.txt")):
+        got.setdefault(part.parent.name, []).extend(part.read_bytes().decode().split("\r\n")[:-1])
+    assert sorted(got) == ["rec_id=gaps", "rec_id=r"]
+    assert got["rec_id=gaps"] == K.ASS_HEAD == got["rec_id=r"][: len(K.ASS_HEAD)]
+    assert [x.rpartition(",")[2] for x in got["rec_id=r"][len(K.ASS_HEAD) :]] == [f"t{i}\\Nx" for i in range(1, 41)]
+
+
+@pytest.mark.parametrize("cue", [("r", 2, None, 9, "t"), ("r", 2, 5, None, "t"), (None, 2, 5, 9, "t"), ("", 2, 5, 9, "t"), ("r", None, 5, 9, "t")])
+def test_a_cue_that_cannot_be_written_fails_the_styled_subtitles(spark, tmp_path, cue):
+    with pytest.raises(Exception, match="lacks its recording, number or a time"):
+        K.write_ass(spark.createDataFrame([("r", 1, 0, 5, "t"), cue], CUE), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
 @pytest.mark.parametrize("dialect", ["tolerant", "strict"])
 def test_subtitles_read_in_splits(spark, tmp_path, dialect):
     rnd = random.Random(8)
