@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,34 @@ def test_fuzzy_search_equals_brute_force(spark, monkeypatch, threshold, blocks):
     assert got == want
 
 
+def test_equal_texts_are_compared_once_and_windows_cross_tiles(spark, monkeypatch):
+    monkeypatch.setattr(K, "TILE", 8)
+    monkeypatch.setattr(K, "OUT_ROWS", 5)
+    texts, words = _random(40, 30, 5) * 3 + [None], [*_random(10, 12, 6), "ab" * 40]
+    words = sorted({w.strip() for w in words} - {""})
+    texts += ["xy" + "ab" * 38 + "cab"]
+    hits = K._match_batch(pd.DataFrame({"uid": range(len(texts))}), pd.Series(texts, dtype=object), words, 60)
+    got = {(uid, w): (kind, sim, swapped) for uid, w, kind, sim, swapped in hits.itertuples(index=False)}
+    want = {
+        (i, w): ("exact" if w.lower() in t.lower() else "fuzzy", round(_partial(w.lower(), t.lower()), 1), len(t) < len(w))
+        for i, t in enumerate(texts) if t for w in words if _partial(w.lower(), t.lower()) >= 60
+    }
+    assert got == want and len(got) == len(hits)
+    seg = spark.createDataFrame(list(enumerate(texts)), "uid int, text string").repartition(3)
+    found = K.search_keywords(seg, spark.createDataFrame([(w,) for w in words], "keyword string"), ["uid"], 60)
+    rows = [tuple(r) for r in found.collect()]
+    assert {r[:2]: r[2:] for r in rows} == want and len(rows) == len(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [text" in plan[plan.index("MapInArrow") :]
+
+
+def test_batches_of_texts_are_joined(monkeypatch):
+    monkeypatch.setattr(K, "BATCH_CHARS", 10)
+    batches = [pa.RecordBatch.from_pydict({"text": x}, pa.schema([("text", pa.string())])) for x in (["abc", "d"], ["efghi"], [], ["jk", None, "lmnopqrstuvwxyz", "a"], ["b"])]
+    got = [b["text"].to_pylist() for b in K.together(iter(batches))]
+    assert got == [["abc", "d", "efghi", "jk"], [None, "lmnopqrstuvwxyz"], ["a", "b"]]
+
+
 def test_equal_lengths_are_compared_both_ways(spark):
     for a, b in (("abcY", "aXbc"), ("aXbc", "abcY")):
         assert K.partial_ratio(a, b) == _partial(a, b) == pytest.approx(600 / 7)
