@@ -357,6 +357,25 @@ def test_scored_texts_meet_once_a_uid(spark):
     assert B.condition_hypotheses(spark, SMALL).columns == ["uid", "hyps"]
 
 
+def test_a_reference_is_measured_against_all_its_variants_at_once(spark, monkeypatch):
+    """One call a uid, texts that repeat, missing ones, and a memory that is emptied on the way."""
+    from lectern.functions import distance as E
+    from lectern.operators import scoring as S
+
+    monkeypatch.setattr(E, "MET", 3)
+    texts = [*_random(6, 12, 3), "abcab", "abca", "", None]
+    rows = [(i, texts[i % 10], [texts[(i * k) % 10] for k in range(1, 5)] if i % 7 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, x string, ys array<string>").coalesce(1)
+    got = {r.i: r.d for r in df.select("i", E.edit_distances("x", "ys").alias("d")).collect()}
+    assert got == {
+        i: None if ys is None else [None if x is None or y is None else specs.edit_distance(x, y) for y in ys] for i, x, ys in rows
+    }
+    refs = spark.createDataFrame([("u", "Nation.")], "uid string, ref string")
+    hyps = spark.createDataFrame([("u", [("a", "nashun"), ("b", None)])], "uid string, hyps array<struct<system: string, hyp: string>>")
+    plan = S.score_variants(refs, hyps)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("ArrowEvalPython")  # the pairs are made after measuring
+
+
 def test_short_texts_by_batch_equal_the_sequential_ratio():
     texts, words = _random(300, 9, 21) + ["", None, "a\0b"], _random(12, 11, 22) + ["ab" * 17, "a\0"]
     batch = K.TextBatch(texts, words)
